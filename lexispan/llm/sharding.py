@@ -31,28 +31,39 @@ def radices(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
-def _round(x: Column, seed: int, k: int) -> Column:
-    y = (x + F.lit((_KEYS[k] + seed * 7919) % _P)) % F.lit(_P)
-    y = (y * y % F.lit(_P) * y + F.lit(12345 + k)) % F.lit(_P)
-    return F.shiftright(y, 7) + y * F.lit(3)
+def _round(x: Column, key: Column) -> Column:
+    y = (x + key) % F.lit(_P)
+    z = (y * y % F.lit(_P) * y + F.lit(12345)) % F.lit(_P)
+    return F.shiftright(z, 7) + z * F.lit(3)
 
 
 def _mod(x: Column, m: int) -> Column:
     return F.pmod(x, F.lit(m).cast("long"))
 
 
+def round_keys(seed: int) -> list[int]:
+    return [(k + seed * 7919) % _P for k in _KEYS]
+
+
 def feistel(x: Column, n: int, seed: int, inverse: bool = False) -> Column:
-    """One pass of the network over [0, a*b): x is split into x div b (below a) and x mod b."""
+    """One pass of the network over [0, a*b): x is split into x div b (below a) and x mod b.
+
+    The rounds run in an aggregate over their keys, two a step, so that no expression nests."""
     a, b = radices(n)
-    right = _mod(x, b)
-    left = ((x - right) / F.lit(b)).cast("long")
-    for k in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
-        sign = -1 if inverse else 1
-        if k % 2 == 0:
-            left = _mod(left + F.lit(sign) * _round(right, seed, k), a)
-        else:
-            right = _mod(right + F.lit(sign) * _round(left, seed, k), b)
-    return left * F.lit(b) + right
+    keys = round_keys(seed)
+    pairs = [F.struct(F.lit(keys[k]).cast("long").alias("l"), F.lit(keys[k + 1]).cast("long").alias("r")) for k in range(0, ROUNDS, 2)]
+
+    def forward(s: Column, k: Column) -> Column:
+        left = _mod(s["l"] + _round(s["r"], k["l"]), a)
+        return F.struct(left.alias("l"), _mod(s["r"] + _round(left, k["r"]), b).alias("r"))
+
+    def backward(s: Column, k: Column) -> Column:
+        right = _mod(s["r"] - _round(s["l"], k["r"]), b)
+        return F.struct(_mod(s["l"] - _round(right, k["l"]), a).alias("l"), right.alias("r"))
+
+    start = F.struct(((x - _mod(x, b)) / F.lit(b)).cast("long").alias("l"), _mod(x, b).alias("r"))
+    steps = F.array(*(pairs[::-1] if inverse else pairs))
+    return F.aggregate(steps, start, backward if inverse else forward, lambda s: s["l"] * F.lit(b) + s["r"])
 
 
 def permute(x: Column, n: int, seed: int = 0, inverse: bool = False) -> Column:
@@ -63,10 +74,11 @@ def permute(x: Column, n: int, seed: int = 0, inverse: bool = False) -> Column:
     one that did not end would raise an error."""
     if n <= 1:
         return x * F.lit(0)
-    once = feistel(x, n, seed, inverse)
     step = lambda v, _: F.when(v < n, v).otherwise(feistel(v, n, seed, inverse))
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), once, step)
-    return F.when(once < n, once).otherwise(F.when(walked < n, walked).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long")))
+    end = lambda v: F.when(v < n, v).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long"))
+    # every row takes the first pass; only those beyond n walk on
+    walk = lambda v: F.when(v < n, v).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), v, step, end))
+    return F.transform(F.array(feistel(x, n, seed, inverse)), walk)[0]
 
 
 def number_rows(df: DataFrame, order_by: list[str]) -> tuple[DataFrame, int]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .queries import SEED, SHARDS
-from .sharding import _KEYS, _P, ROUNDS
+from .sharding import _P, ROUNDS, round_keys
 
 #: Passes of the network that the SQL for op1 allows for; more than the tables at hand need.
 WALKS = 6
@@ -45,8 +45,8 @@ def _op1() -> str:
         out = [f"{v}_0 AS MATERIALIZED (SELECT *, v // b AS l, v % b AS r FROM {v})"]
         for k in range(ROUNDS):
             one, other, m = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
-            y = f"(({other} + {(_KEYS[k] + SEED * 7919) % _P}) % {_P})"
-            out.append(f"{v}_y{k} AS MATERIALIZED (SELECT *, ({y} * {y} % {_P} * {y} + {12345 + k}) % {_P} AS z FROM {v}_{k})")
+            y = f"(({other} + {round_keys(SEED)[k]}) % {_P})"
+            out.append(f"{v}_y{k} AS MATERIALIZED (SELECT *, ({y} * {y} % {_P} * {y} + 12345) % {_P} AS z FROM {v}_{k})")
             out.append(f"{v}_{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (z) REPLACE (({one} + (z >> 7) + z * 3) % {m} AS {one}) FROM {v}_y{k})")
         return out
 

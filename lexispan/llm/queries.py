@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup, normalised
+from .minhash import near_duplicates
 from .mixing import mix_sources
+from .quality_model import classify
+from .quality_rules import quality_rules
+from .sentencepiece import decode, encode
 from .sharding import shard_rows
 
 SEED = 20
@@ -29,11 +33,35 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = quality_rules(docs, narrow=True)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def token_digest(encoded: DataFrame, *columns: str) -> DataFrame:
+    """n_tokens, the CRC-32 of the ids, and whether decoding gives back the whole text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return decode(encoded).select(*columns, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == text).alias("round_trip"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(encode(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source to weight in proportion to the square root of its rows, as many rows in all as before."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").cast("long").alias("size"))
@@ -41,4 +69,4 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op5_exact_dedup, op8_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op4_quality_rules, op5_exact_dedup, op6_quality_model, op8_mixing, op9_minhash, op10_sentencepiece)}

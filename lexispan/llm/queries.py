@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup, normalised
+from .html_extract import extract_text
+from .lm_score import lm_score
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .quality_model import classify
 from .quality_rules import quality_rules
 from .sentencepiece import decode, encode
 from .sharding import shard_rows
+from .url_filter import filter_urls
 
 SEED = 20
 SHARDS = 8
+RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +37,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = quality_rules(docs, narrow=True)
@@ -40,18 +53,19 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "keep_id", "group_size", "kept", F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("text_sha256"))
-
-
-def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("sha")
+    out = exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", sha))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def token_digest(encoded: DataFrame, *columns: str) -> DataFrame:
     """n_tokens, the CRC-32 of the ids, and whether decoding gives back the whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -68,5 +82,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, alpha=0.5, seed=SEED)
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_quality_rules, op5_exact_dedup, op6_quality_model, op8_mixing, op9_minhash, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_sharding, op2_html_extraction, op3_url_filter, op4_quality_rules, op5_exact_dedup, op6_quality_model, op7_lm_score, op8_mixing, op9_minhash, op10_sentencepiece)}

@@ -1,25 +1,33 @@
 """Exact duplicates by distributed MSD radix partitioning.
 
 Texts, without their white space, are split into groups by their first bytes, each group by the next
-bytes, and so on, until a group has one row or its texts have ended. Two texts are equal when they
-were never parted; no digest decides. The digit is a run of bytes that grows sixteenfold each round,
-so a text of 30 MB takes six rounds.
+bytes, and so on, until a group has one text or its texts have ended. Two texts are equal when they
+were never parted; no digest decides. A digit is a run of bytes, sixteen times as long in each round.
 
-Groups are counted with a partial aggregate before any shuffle, so a hot group (a third of all rows
-alike) is one row per task; the rows get their group by an equi-join, whose hot keys adaptive
-execution splits. Each round's rows are written to the shared folder.
+1. Each task splits its own texts (`radix`). Of equal ones, the first alone carries its text on, so a
+   text that a third of all rows repeat is one row per task from here.
+2. These representatives are partitioned over the cluster by the first digit, and by the next one
+   where a group holds more than `most` bytes. This is the only shuffle of text.
+3. Each partition goes on with the next bytes, which gives every representative its class.
+4. Narrow rows (ids and lengths) are joined to the classes and aggregated, to find the row that stays.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructType
 
-from .common import SPACE_SQL, discard, materialize
+from .common import SPACE, SPACE_SQL, code_points, materialize, slices, utf8
 
 FIRST, GROWTH = 48, 16
+#: Bytes of the first digit that partitions the cluster, of a partition, and of a group that isn't split.
+SPREAD, PARTITION, MOST = 768, 64 << 20, 256 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -27,44 +35,93 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_SQL + "+", "")
 
 
-def exact_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", first: int = FIRST) -> DataFrame:
+def radix(texts: list[bytes], first: int = FIRST) -> list[int]:
+    """For each text the place of the first that equals it."""
+    out = list(range(len(texts)))
+    work = [(out[:], 0, first)]
+    while work:
+        group, at, width = work.pop()
+        parts: dict[tuple[bytes, bool], list[int]] = {}
+        for i in group:
+            parts.setdefault((texts[i][at : at + width], len(texts[i]) <= at + width), []).append(i)
+        for (_, ended), part in parts.items():
+            if len(part) > 1 and ended:
+                for i in part:
+                    out[i] = part[0]
+            elif len(part) > 1:
+                work.append((part, at + width, width * GROWTH))
+    return out
+
+
+def stripped(arr: pa.Array) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    """First row, texts without white space, and code points of the whole texts, of each slice."""
+    for i, j in slices(arr):
+        data, off = utf8(arr.slice(i, j - i))
+        keep = ~SPACE[data]
+        at = np.concatenate([[0], np.cumsum(keep)])[off]
+        body = data[keep].tobytes()
+        yield i, [body[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], code_points(data, off)
+
+
+def exact_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", most: int = MOST, spread: int = SPREAD) -> DataFrame:
     """df's columns with keep_id, group_size (long) and kept.
 
     Of equal texts the row with the most code points stays, then the one with the smallest id (a
     null id comes last); of rows that are alike in both, one stays. A null text equals an empty one.
     Own columns named keep_id, group_size or kept are replaced. An empty table gives no rows."""
     own = [c for c in df.columns if c not in ("keep_id", "group_size", "kept")]
-    row = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
-    norm = normalised(F.col(f"row.`{text}`"))
-    digit = lambda start, width: F.substring(norm.cast("binary"), start, width)
-
-    # round one: all rows, by their first bytes
-    first_digit = row.withColumn("digit", digit(1, first)).withColumn("ended", F.octet_length(norm) <= first)
-    groups = first_digit.groupBy("digit", "ended").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = materialize(groups.withColumn("gid", F.monotonically_increasing_id()))
-    rows = first_digit.join(groups.drop("n"), ["digit", "ended"], "left")
-    rows = materialize(rows.select("row", "gid", "ended", F.monotonically_increasing_id().alias("uid")))
-    done = [rows.where("gid is null").select("row", F.lit(None).cast("struct<round:int,gid:bigint>").alias("g"), "uid")]
-    done.append(rows.where("gid is not null and ended").select("row", F.struct(F.lit(0).alias("round"), "gid").alias("g"), "uid"))
-    live, at, width, k = rows.where("gid is not null and not ended").select("row", "gid", "uid"), first, first * GROWTH, 1
-    while not live.isEmpty():
-        split = live.withColumn("digit", digit(at + 1, width)).withColumn("ended", F.octet_length(norm) <= at + width)
-        groups = split.groupBy("gid", "digit", "ended").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        groups = materialize(groups.withColumn("next", F.monotonically_increasing_id()))
-        rows = materialize(split.join(groups.drop("n"), ["gid", "digit", "ended"], "left").select("row", F.col("next").alias("gid"), "ended", "uid"))
-        discard(groups)
-        done.append(rows.where("gid is null").select("row", F.lit(None).cast("struct<round:int,gid:bigint>").alias("g"), "uid"))
-        done.append(rows.where("gid is not null and ended").select("row", F.struct(F.lit(k).alias("round"), "gid").alias("g"), "uid"))
-        live = rows.where("gid is not null and not ended").select("row", "gid", "uid")
-        at, width, k = at + width, width * GROWTH, k + 1
-
-    alone = reduce(DataFrame.unionByName, [d for d in done[0::2]])
-    equal = reduce(DataFrame.unionByName, [d for d in done[1::2]])
-    out = [F.col(f"row.`{c}`") for c in own]
-    chars, doc = F.char_length(F.coalesce(F.col(f"row.`{text}`"), F.lit(""))), F.col(f"row.`{id_col}`")
-    rank = F.struct((-chars).alias("chars"), doc.isNull().alias("none"), doc.alias("id"), F.col("uid").alias("uid"))
-    best = equal.groupBy("g").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("best"))
-    equal = equal.join(best, "g")
-    return alone.select(*out, doc.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")).unionByName(
-        equal.select(*out, F.col("best.id").alias("keep_id"), F.col("group_size").cast("long"), (F.col("uid") == F.col("best.uid")).alias("kept"))
-    )
+    df = df.select(*[F.col(f"`{c}`") for c in own])
+    inner = [f"c{i}" for i in range(len(own))]
+    at = own.index(text)
+    renamed = df.toDF(*inner)
+    extra = StructType().add("uid", LongType()).add("same", LongType()).add("chars", LongType()).add("first", BooleanType())
+    schema = StructType([*renamed.schema, *extra])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            texts: list[bytes] = []
+            chars: list[np.ndarray] = []
+            for _, part, c in stripped(batch.column(at)):
+                texts += part
+                chars.append(c)
+            same = np.array(radix(texts), np.int64)
+            uid = np.arange(len(texts)) + n
+            n += len(texts)
+            more = [pa.array(uid), pa.array(same + (uid[0] if len(uid) else 0)), pa.array(np.concatenate(chars) if chars else np.zeros(0, np.int64)), pa.array(same == np.arange(len(same)))]
+            yield pa.record_batch([*batch.columns, *more], names=[*inner, *extra.names])
+
+    rows = materialize(renamed.mapInArrow(local, schema))
+    norm = normalised(F.col(f"c{at}")).cast("binary")
+    reps = rows.where("first").select("uid", norm.alias("norm"))
+    key, width = F.substring("norm", 1, spread), spread
+    reps = reps.withColumn("key", key)
+    volume = reps.groupBy("key").agg(F.sum(F.octet_length("norm")).alias("bytes"), F.max(F.octet_length("norm")).alias("longest"))
+    total = volume.agg(F.sum("bytes")).first()[0] or 0
+    hot = materialize(volume.where((F.col("bytes") > most) & (F.col("longest") > width)).select("key", F.lit(True).alias("hot")))
+    while not hot.isEmpty():
+        width *= GROWTH
+        longer = F.substring("norm", 1, width)
+        reps = materialize(reps.join(hot, "key", "left").select("uid", "norm", F.when(F.col("hot"), longer).otherwise(F.col("key")).alias("key")))
+        volume = reps.groupBy("key").agg(F.sum(F.octet_length("norm")).alias("bytes"), F.max(F.octet_length("norm")).alias("longest"))
+        hot = materialize(volume.where((F.col("bytes") > most) & (F.col("longest") > width)).select("key", F.lit(True).alias("hot")))
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uids: list[int] = []
+        texts: list[bytes] = []
+        for batch in batches:
+            uids += batch.column(0).to_pylist()
+            texts += batch.column(1).to_pylist()
+        gid = np.array(uids, np.int64)[radix(texts)] if uids else np.zeros(0, np.int64)
+        yield pa.record_batch([pa.array(uids, pa.int64()), pa.array(gid)], names=["same", "gid"])
+
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PARTITION + 1)
+    found = materialize(reps.repartition(n, "key").select("uid", "norm").mapInArrow(classes, "same long, gid long"))
+
+    doc = F.col(f"c{own.index(id_col)}")
+    narrow = rows.select("uid", "same", "chars", doc.alias("id")).join(found, "same")
+    rank = F.struct((-F.col("chars")).alias("chars"), F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("uid").alias("uid"))
+    best = narrow.groupBy("gid").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("best"))
+    best = materialize(found.join(best, "gid").select("same", F.col("best.id").alias("keep_id"), "group_size", F.col("best.uid").alias("best")))
+    out = rows.join(best, "same")
+    return out.select(*[F.col(a).alias(b) for a, b in zip(inner, own, strict=True)], "keep_id", "group_size", (F.col("uid") == F.col("best")).alias("kept"))

@@ -1,0 +1 @@
+"""lexispan: full-text search, ranking and highlighting on Spark DataFrames."""

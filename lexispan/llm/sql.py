@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import SEED, SHARDS
+from .queries import RULES, SEED, SHARDS
 from .sharding import _P, ROUNDS, round_keys
+from .url_filter import BLOCKED_WORDS, DAMPING, ITERATIONS, LINK, LOWER, THRESHOLD, UPPER, split_rule
 
 #: Passes of the network that the SQL for op1 allows for; more than the tables at hand need.
 WALKS = 6
@@ -64,5 +65,48 @@ w0 AS (SELECT doc_id, size, text_crc32, n, a, (n + a - 1) // a AS b, row_number(
 SELECT doc_id, size, text_crc32, 'rows' AS law, (v % {SHARDS})::INT AS shard, v // {SHARDS} AS slot, NULL::INT AS grown_shard FROM {last}"""
 
 
+OP9 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh FROM w),
+f AS MATERIALIZED (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM f a JOIN f b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * i >= 85 * (len(sa.sh) + len(sb.sh) - i)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reach = e.a)
+SELECT doc_id, any_value(len(sh))::BIGINT AS n_shingles, min(reach) AS component_id, doc_id = min(reach) AS kept FROM r JOIN s USING (doc_id) GROUP BY doc_id"""
+
+
+def _op3() -> str:
+    def fits(rule: str) -> str:
+        host, path = split_rule(rule)
+        return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+    longest = sorted(RULES, key=len, reverse=True)
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for r in longest) + " END"
+    listed = lambda v: ", ".join(f"'{r}'" for r, x in RULES.items() if x == v)
+    words = ", ".join(f"'{w}'" for w in BLOCKED_WORDS)
+    link = LINK.replace("'", "''")
+    lower = f"'{UPPER}', '{LOWER}'"
+    steps = []
+    for i in range(ITERATIONS):
+        steps.append(f"""k{i + 1} AS MATERIALIZED (SELECT host, sum(t) AS t, sum(d) AS d FROM (SELECT * FROM k0
+          UNION ALL SELECT dst, t * forth, 0.0 FROM g JOIN k{i} ON src = host UNION ALL SELECT src, 0.0, d * back FROM g JOIN k{i} ON dst = host) GROUP BY host)""")
+    return f"""
+WITH a AS (SELECT page_id, html, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages),
+h AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), {lower}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+j AS MATERIALIZED (SELECT page_id, html, host, path, {rule} AS rule FROM h),
+seed AS (SELECT host, avg(coalesce(rule IN ({listed("allow")}), false)::INT) AS t, list_has_any(regexp_split_to_array(host, '[.\\-_0-9:@]+'), [{words}])::INT::DOUBLE AS d FROM j WHERE host <> '' GROUP BY host),
+k0 AS MATERIALIZED (SELECT host, {1 - DAMPING} * CASE WHEN d > 0 THEN 0 ELSE t END AS t, {1 - DAMPING} * d AS d FROM seed WHERE t > 0 OR d > 0),
+f AS (SELECT DISTINCT host, regexp_replace(host, '^[^.]+\\.', '') AS up FROM j WHERE regexp_matches(host, '^[^.]+\\.[^.]+\\.[^.]+')),
+n AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), {lower}) AS dst FROM j),
+e AS (SELECT src, dst, sum(w) AS w FROM (SELECT host AS src, up AS dst, 1.0::DOUBLE AS w FROM f UNION ALL SELECT up, host, 1.0 FROM f
+       UNION ALL SELECT src, dst, 1.0 FROM n WHERE src <> dst AND src <> '' AND dst <> '') GROUP BY src, dst),
+g AS MATERIALIZED (SELECT src, dst, {DAMPING} * w / sum(w) OVER (PARTITION BY src) AS forth, {DAMPING} * w / sum(w) OVER (PARTITION BY dst) AS back FROM e),
+{", ".join(steps)}
+SELECT page_id, j.host, path, rule, CASE WHEN rule IN ({listed("allow")}) THEN 'allow' WHEN rule IN ({listed("block")}) THEN 'block'
+  WHEN d > {THRESHOLD} * (t + d) THEN 'block' ELSE 'allow' END AS verdict FROM j LEFT JOIN k{ITERATIONS} k ON j.host = k.host"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": _op1(), "op5_exact_dedup": OP5, "op8_mixing": OP8}
+    return {"op1_sharding": _op1(), "op3_url_filter": _op3(), "op9_minhash": OP9, "op5_exact_dedup": OP5, "op8_mixing": OP8}

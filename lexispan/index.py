@@ -170,16 +170,27 @@ def same_analysis(*indexes: SearchIndex) -> Options:
 def search_join(docs: DataFrame, text: str, queries: DataFrame, query: str, options: Options = DEFAULT) -> DataFrame:
     """Pairs of documents and queries that match, for queries that are a column.
 
-    Distinct query texts are compiled where they run, and all are held against a document at once: the
-    documents aren't repeated per query and only pairs that match become rows."""
-    texts = queries.select(F.col(query).alias("_query")).where("_query is not null").distinct()
-    listed = texts.agg(F.collect_list("_query").alias("_queries"))
-    few = [r[0] for r in listed.select(F.explode("_queries")).collect()]  # a query table, stated by its user
+    The distinct query texts (a table that its user states) go to the tasks, where they are compiled
+    and listed by terms that their matches must have. A document is held against the queries of its
+    own terms and those that have no such terms; it isn't repeated, and only matches become rows."""
+    texts = [r[0] for r in queries.select(query).where(F.col(query).isNotNull()).distinct().collect()]
 
     @F.pandas_udf("array<string>")
     def matching_queries(terms: pd.Series) -> pd.Series:
-        nodes = [(q, compile_query(q, options)) for q in few]
-        return pd.Series([[q for q, n in nodes if matching.holds(n, list(t))] if t is not None else [] for t in terms], dtype=object)
+        by_term: dict[str, list[str]] = {}
+        always = []
+        for q in texts:
+            need = matching.anchors(compile_query(q, options))
+            for t in need or ():
+                by_term.setdefault(t, []).append(q)
+            if need is None:
+                always.append(q)
+
+        def one(own: list[str | None]) -> list[str]:
+            near = dict.fromkeys([*always, *(q for t in dict.fromkeys(own) for q in by_term.get(t, ()))])
+            return [q for q in near if matching.holds(compile_query(q, options), own)]
+
+        return pd.Series([one(list(t)) if t is not None else [] for t in terms], dtype=object)
 
     hits = docs.withColumn("_query", F.explode(matching_queries(analysis.terms(F.col(text), options))))
     return hits.join(queries, F.col("_query") == F.col(query)).drop("_query")

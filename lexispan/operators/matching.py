@@ -191,6 +191,25 @@ def holds(node: Node, terms: list[str | None]) -> bool:
     return any(t is not None for t in terms) and test(node)
 
 
+_BOTH = ("and", "ordered", "unordered", "encloses", "enclosed_by", "overlapping", "before", "after")
+
+
+def anchors(node: Node) -> frozenset[str] | None:
+    """Terms of which every matching document has one; None where there are no such terms."""
+    op, kids = node.op, node.kids
+    if op == "term":
+        return frozenset([node.arg])
+    if op in _BOTH:
+        some = [a for a in map(anchors, kids) if a is not None]
+        return min(some, key=len) if some else None
+    if op in ("or", "atleast") and kids and (op == "or" or node.arg >= 1):
+        each = [anchors(k) for k in kids]
+        return None if None in each else frozenset().union(*each)
+    if op in LEAVES or op in ("all", "not", "or", "atleast") or not kids:
+        return None
+    return anchors(kids[0])
+
+
 def edits(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

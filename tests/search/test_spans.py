@@ -122,3 +122,12 @@ def test_highlights():
     assert highlight("x < beer", q("beer~1"), "<i title='$QUERY_PART' class=$QUERY_LABEL>", "</i>") == "x < <i title='beer~1' class=beer-1>beer</i>"
     assert "\x1b[" in highlight_ansi("a beer", q("beer")) and highlight_ansi("a\nred", q("red")).endswith("\x1b[1;31mred\x1b[0m")
     assert highlight("wine", q("beer OR wine AND x"), "[", "]") == "[wine]"
+
+
+@pytest.mark.parametrize(
+    ("query", "want"),
+    [("a AND b", {"a"}), ("a OR b", {"a", "b"}), ("a OR b*", None), ("NOTE AND NOT b", {"note"}), ('"a b" OR c', {"a", "c"}), ("AT LEAST 2 OF [a b c]", {"a", "b", "c"}), ("*", None), ("a* NEAR/2 b IN LAST 5%", {"b"}), ("AT LEAST 0 OF [a b] WITHIN 3", None)],
+)
+def test_anchors_are_necessary(query, want):
+    got = matching.anchors(compile_query(query))
+    assert (set(got) if got is not None else None) == want

@@ -28,7 +28,7 @@ def documents(spark: SparkSession, sf_dir: str, options: Options = DEFAULT, colu
     return SearchIndex("documents_text", table(spark, sf_dir, "documents").select("doc_id", "text", *columns), "doc_id", "text", where, options)
 
 
-# -- SQL building blocks ----------------------------------------------------------------------------
+# SQL building blocks
 
 _RE = WORDS.replace("'", "''")
 
@@ -122,7 +122,7 @@ def _search(query: str) -> Query:
     return lambda spark, sf: documents(spark, sf).search(query).rows().select("doc_id")
 
 
-# -- scores -----------------------------------------------------------------------------------------
+# scores
 
 
 def scores_sql(words: dict[str, float], matching_: str, k1: float = 1.2, b: float = 0.75, name: str = "documents", key: str = "doc_id", text: str = "text", covered: str = "true") -> str:
@@ -190,7 +190,7 @@ def multi_column_score(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("p_partkey", F.round(sum_scores(F.col("s1"), F.col("s2")).cast("double"), 3).alias("score"))
 
 
-# -- analysis ---------------------------------------------------------------------------------------
+# analysis
 
 
 def _terms(spark: SparkSession, sf: str, options: Options = DEFAULT) -> DataFrame:
@@ -225,7 +225,7 @@ ANALYSIS: dict[str, tuple[Query, str]] = {
 }
 
 
-# -- composition ------------------------------------------------------------------------------------
+# composition
 
 
 def search_any_array(spark: SparkSession, sf: str) -> DataFrame:

@@ -33,7 +33,7 @@ class SearchIndex:
         self.terms = analysis.terms(self.text, options)
         df.where(self.where if self.where is not None else F.lit(True)).select(self.text)  # fails here if they don't resolve
 
-    # -- documents ------------------------------------------------------------------------------
+    # documents
     def documents(self, df: DataFrame | None = None) -> DataFrame:
         """The rows that the index covers, with their terms as _terms."""
         df = self.df if df is None else df
@@ -53,7 +53,7 @@ class SearchIndex:
     def compile(self, query: str, keep_repeats: bool = False) -> Node:
         return compile_query(query, self.options, keep_repeats)
 
-    # -- searches -------------------------------------------------------------------------------
+    # searches
     def match(self, query: str | None) -> Column:
         """Whether a row matches; null where the text or the query is null."""
         if query is None:
@@ -98,7 +98,7 @@ class Search:
         rows = self.rows().select(self.index.key, F.explode(matching.intervals(self.plain, F.col("_terms"))).alias("i"))
         return rows.select(self.index.key, F.col("i.s").alias("s"), F.col("i.e").alias("e"))
 
-    # -- scores ---------------------------------------------------------------------------------
+    # scores
     def _terms(self, full: bool, dense_ratio: float | None, add: list[str] | None, replace: list[str] | None) -> tuple[list[scoring.Weighted], scoring.Stats]:
         ws = scoring.weighted(self.weighing, self.index.options, add, replace, full)
         s = scoring.stats(self.index.documents(), F.col("_terms"), [w.term for w in ws])
@@ -130,7 +130,7 @@ class Search:
         rows = [(w.term, float(scoring.idf(s.n, s.df[w.term]) * np.float32(w.boost))) for w in ws]
         return self.index.df.sparkSession.createDataFrame(rows, "term string, weight float")
 
-    # -- highlights -----------------------------------------------------------------------------
+    # highlights
     def highlight_column(self, text: Column, begin: str = "<b>", end: str = "</b>") -> Column:
         node, options = self.plain, self.index.options
 

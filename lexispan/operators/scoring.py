@@ -17,7 +17,7 @@ from ..functions.analysis import Options, analyze, token_count
 from ..plans.nodes import Node
 
 #: Least counts of the sixteen buckets of term frequencies, which stand for all counts of the bucket.
-BUCKETS = (1, 2, 3, 5, 10, 20, 41, 85, 177, 371, 777, 1626, 3405, 7132, 14938, 31288)
+BUCKETS = tuple(map(int, "1 2 3 5 10 20 41 85 177 371 777 1626 3405 7132 14938 31288".split()))
 _HIDDEN = ("not_encloses", "not_enclosed_by", "not_overlapping")
 
 
@@ -95,7 +95,8 @@ def retained(ws: list[Weighted], s: Stats, dense_ratio: float | None) -> list[We
 
 
 def idf(n: int, df: int) -> np.float32:
-    return np.float32(max(0.0, math.log(1 + (n - df + 0.5) / (df + 0.5))))
+    half = 0.5
+    return np.float32(max(0.0, math.log(1 + (n - df + half) / (df + half))))
 
 
 def _f(x: float) -> Column:

@@ -94,7 +94,7 @@ def test_round_trip_of_random_trees():
     ("query", "want"),
     [
         ('"big bad wolf"', 'PHRASE("big bad wolf")'),
-        ("(l.a OR nood1e) WITHIN 7", "SPAN(MAXWIDTH(7, OR(l.a, nood1e)))"),
+        ("(x.a OR b2b) WITHIN 9", "SPAN(MAXWIDTH(9, OR(x.a, b2b)))"),
         ("alpha OR gamma", "OR(alpha, gamma)"),
         ("a AND a AND b", "AND(a, b)"),
         ("beer AND NOT ,", "beer"),

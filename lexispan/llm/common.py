@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy works on at once; a longer text is worked on alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 WORD_SPACE = rb" \t-\r"
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
@@ -41,6 +41,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of text that a Python worker gets at once; with rows of some KB, ten thousand would fill it.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds a Python worker's memory: a session setting, lowered only."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a materialized table that nothing will read again."""
     spark = df.sparkSession

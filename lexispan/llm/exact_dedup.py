@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructType
 
-from .common import SPACE, SPACE_SQL, code_points, materialize, slices, utf8
+from .common import SPACE, SPACE_SQL, code_points, materialize, slices, small_batches, utf8
 
 FIRST, GROWTH = 48, 16
 #: Bytes of the first digit that partitions the cluster, of a partition, and of a group that isn't split.
@@ -69,6 +69,7 @@ def exact_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", most:
     Of equal texts the row with the most code points stays, then the one with the smallest id (a
     null id comes last); of rows that are alike in both, one stays. A null text equals an empty one.
     Own columns named keep_id, group_size or kept are replaced. An empty table gives no rows."""
+    small_batches(df.sparkSession)
     own = [c for c in df.columns if c not in ("keep_id", "group_size", "kept")]
     df = df.select(*[F.col(f"`{c}`") for c in own])
     inner = [f"c{i}" for i in range(len(own))]

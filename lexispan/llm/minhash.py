@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, hash_spans, materialize, slices, spans, utf8, windows
+from .common import LOWER, discard, hash_spans, materialize, slices, small_batches, spans, utf8, windows
 
 WORDS = 5
 BANDS, ROWS = 28, 6
@@ -37,7 +37,7 @@ PERCENT = 85
 #: Shingles of a component that one task compares; a larger one is swept.
 LOCAL_SHINGLES = 16_000_000
 #: Shingles of the components that a task gets together, on average.
-SHARE = 2_000_000
+SHARE = 1_000_000
 #: Leaders of a sweep, and the shingles of them that are broadcast at most (one leader at least).
 BLOCK, BLOCK_SHINGLES = 64, 4_000_000
 _rng = np.random.default_rng(9)
@@ -278,6 +278,7 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", l
     tell documents apart: rows that repeat an id are taken as one document each with that id, and
     share its component; a null id takes part in no link and is kept, with a null component. An
     empty table gives no rows."""
+    small_batches(df.sparkSession)
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     signed = materialize(src.mapInArrow(_sign, "id long, n long, digest binary, bands array<long>"))
     some = signed.where("digest is not null and id is not null")

@@ -4,11 +4,12 @@ Texts, without their white space, are split into groups by their first bytes, ea
 bytes, and so on, until a group has one text or its texts have ended. Two texts are equal when they
 were never parted; no digest decides. A digit is a run of bytes, sixteen times as long in each round.
 
-1. Each task splits its own texts (`radix`). Of equal ones, the first alone carries its text on, so a
-   text that a third of all rows repeat is one row per task from here.
+1. Each batch of a task splits its own texts (`radix`). Of equal ones, the first alone carries its text
+   on, so a text that a third of all rows repeat is one row per batch from here.
 2. These representatives are partitioned over the cluster by the first digit, and by the next one
    where a group holds more than `most` bytes. This is the only shuffle of text.
-3. Each partition goes on with the next bytes, which gives every representative its class.
+3. Each partition goes on with the next bytes, which gives every representative its class; it holds
+   distinct texts only.
 4. Narrow rows (ids and lengths) are joined to the classes and aggregated, to find the row that stays.
 """
 
@@ -108,13 +109,16 @@ def exact_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", most:
         hot = materialize(volume.where((F.col("bytes") > most) & (F.col("longest") > width)).select("key", F.lit(True).alias("hot")))
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uids: list[int] = []
+        known: list[int] = []  # of each distinct text so far, the first uid and the text
         texts: list[bytes] = []
         for batch in batches:
-            uids += batch.column(0).to_pylist()
+            uids = known + batch.column(0).to_pylist()
             texts += batch.column(1).to_pylist()
-        gid = np.array(uids, np.int64)[radix(texts)] if uids else np.zeros(0, np.int64)
-        yield pa.record_batch([pa.array(uids, pa.int64()), pa.array(gid)], names=["same", "gid"])
+            same = radix(texts)
+            new = range(len(known), len(uids))
+            yield pa.record_batch([pa.array([uids[i] for i in new], pa.int64()), pa.array([uids[same[i]] for i in new], pa.int64())], names=["same", "gid"])
+            keep = [i for i in range(len(uids)) if same[i] == i]
+            known, texts = [uids[i] for i in keep], [texts[i] for i in keep]
 
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PARTITION + 1)
     found = materialize(reps.repartition(n, "key").select("uid", "norm").mapInArrow(classes, "same long, gid long"))

@@ -39,6 +39,8 @@ BATCH, NOISE, RATE, ROUNDS = 2048, 64, 0.08, 2
 #: Words whose count is this share of a partition's keep their hash, as candidates for a class of their own.
 HEAVY = 20_000
 GROUPS = 256
+#: Tokens whose scores over all classes are held at once, as many as stay in a core's cache.
+SCORED = 1024
 SEED = 7
 
 
@@ -143,37 +145,61 @@ class LogBilinear:
         m.bias[:] = np.log(share)
         return m
 
-    def hidden(self, ctx: np.ndarray) -> np.ndarray:
-        return sum(self.inp[ctx[:, j]] @ self.mat[j] for j in range(CONTEXT))
+    def projected(self) -> np.ndarray:
+        """What each context class adds at each place: its vector times the place's matrix, once per class."""
+        return np.matmul(self.inp[None], self.mat)
 
     def log10(self, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-        s = self.hidden(ctx) @ self.out.T + self.bias
-        s -= s.max(1, keepdims=True)
-        picked = s[np.arange(len(s)), target]
-        np.exp(s, out=s)
-        return (picked - np.log(s.sum(1))) / np.log(10)
+        """Normalised log-probabilities; ctx has a row per place."""
+        each = self.projected()
+        top = np.concatenate([self.out, self.bias[:, None]], 1).T.copy()  # the bias is one more factor
+        out = np.empty(len(target), np.float64)
+        for a in range(0, len(target), SCORED):
+            t = target[a : a + SCORED]
+            h = np.ones((len(t), DIM + 1), np.float32)
+            h[:, :DIM] = each[0].take(ctx[0, a : a + SCORED], 0)
+            for j in range(1, CONTEXT):
+                h[:, :DIM] += each[j].take(ctx[j, a : a + SCORED], 0)
+            s = h @ top
+            most = s.max()
+            if most > 60:  # else single precision holds the sum of the exponentials
+                s -= most
+            picked = s[np.arange(len(t)), t]
+            np.exp(s, out=s)
+            out[a : a + SCORED] = picked - np.log(np.maximum(s.sum(1), np.float32(1e-37)))
+        return out / np.log(10)
 
     def train(self, ctx: np.ndarray, target: np.ndarray, share: np.ndarray, state: np.ndarray, rng: np.random.Generator) -> None:
         """Steps of NCE over batches, each with noise shared by its targets; Adagrad."""
         grad = LogBilinear(np.zeros(self.SIZE, np.float32))
         log_noise = np.log(NOISE * share).astype(np.float32)
-        for a in range(0, len(target), BATCH):
-            c, t = ctx[a : a + BATCH], target[a : a + BATCH]
-            noise = rng.choice(CLASSES, NOISE, p=share)
-            h = self.hidden(c)
-            p = 1 / (1 + np.exp(-np.clip((h * self.out[t]).sum(1) + self.bias[t] - log_noise[t], -30, 30)))
-            q = 1 / (1 + np.exp(-np.clip(h @ self.out[noise].T + self.bias[noise] - log_noise[noise], -30, 30)))
-            up = (1 - p) / len(t)
-            q /= len(t)
+        drawn = rng.choice(CLASSES, (-(-len(target) // BATCH), NOISE), p=share)
+        for a, noise in zip(range(0, len(target), BATCH), drawn, strict=True):
+            c, t = ctx[:, a : a + BATCH], target[a : a + BATCH]
+            each = self.projected()
+            h = each[0].take(c[0], 0)
+            for j in range(1, CONTEXT):
+                h += each[j].take(c[j], 0)
+            right, wrong = self.out.take(t, 0), self.out.take(noise, 0)
+            p = np.einsum("ij,ij->i", h, right) + (self.bias - log_noise)[t]
+            up = 1 / (1 + np.exp(np.clip(p, -30, 30))) / len(t)
+            q = h @ wrong.T
+            q += (self.bias - log_noise)[noise]
+            np.clip(q, -30, 30, out=q)
+            np.exp(np.negative(q, out=q), out=q)
+            q += 1
+            np.divide(np.float32(1 / len(t)), q, out=q)
             grad.vector[:] = 0
             _add(grad.out, t, up[:, None] * h)
             np.add.at(grad.out, noise, -(q.T @ h))
             grad.bias += np.bincount(t, weights=up, minlength=CLASSES)
             np.add.at(grad.bias, noise, -q.sum(0))
-            dh = up[:, None] * self.out[t] - q @ self.out[noise]
-            for j in range(CONTEXT):
-                grad.mat[j] += self.inp[c[:, j]].T @ dh
-                _add(grad.inp, c[:, j], dh @ self.mat[j].T)
+            dh = up[:, None] * right - q @ wrong
+            for j in range(CONTEXT):  # added up per class first, then through the matrices
+                by_class = np.zeros_like(self.inp)
+                _add(by_class, c[j], dh)
+                grad.mat[j] += self.inp.T @ by_class
+                grad.inp += by_class @ self.mat[j].T
             state += grad.vector**2
             self.vector += RATE * grad.vector / np.sqrt(state + 1e-10)
 
@@ -181,8 +207,8 @@ class LogBilinear:
 def _add(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     order = np.argsort(rows, kind="stable")
     r = rows[order]
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(r)) + 1])
-    to[r[cut]] += np.add.reduceat(values[order], cut)
+    cut = np.concatenate([[0], np.flatnonzero(r[1:] != r[:-1]) + 1])
+    to[r[cut]] += np.add.reduceat(values.take(order, 0), cut)
 
 
 def contexts(classes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,11 +219,11 @@ def contexts(classes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inner = np.ones(at[-1], bool)
     inner[at[1:] - 1] = False
     target[inner] = np.frombuffer(b"".join(classes), np.uint8)
-    ctx = np.full((len(target), CONTEXT), CLASSES, np.int64)
-    place = np.arange(len(target)) - np.repeat(at[:-1], lens)
+    ctx = np.full((CONTEXT, len(target)), CLASSES, np.int16)
+    target = target.astype(np.int16)
+    place = np.minimum(np.arange(len(target)) - np.repeat(at[:-1], lens), CONTEXT)
     for j in range(CONTEXT):
-        ok = np.flatnonzero(place > j)
-        ctx[ok, j] = target[ok - j - 1]
+        np.copyto(ctx[j, j + 1 :], target[: -j - 1], where=place[j + 1 :] > j)
     return ctx, target, at
 
 
@@ -235,7 +261,7 @@ def fit(coded: DataFrame, share: np.ndarray) -> np.ndarray:
                 for i, j in _chunks(blobs):
                     ctx, target, _ = contexts(blobs[i:j])
                     order = rng.permutation(len(target))
-                    model.train(ctx[order], target[order], share, state, rng)
+                    model.train(ctx[:, order], target[order], share, state, rng)
                     n += len(target)
             if n:
                 yield pa.record_batch([pa.array([task % GROUPS]), pa.array([n]), pa.array([model.vector.tobytes()], pa.binary())], names=["g", "n", "v"])
@@ -310,8 +336,7 @@ def lm_score(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
             blobs, out = batch.column(6).to_pylist(), []
             for i, j in _chunks(blobs):
                 ctx, target, at = contexts(blobs[i:j])
-                p = np.concatenate([m.log10(ctx[a : a + 4096], target[a : a + 4096]).astype(np.float64) for a in range(0, len(target), 4096)])
-                out.append(np.add.reduceat(p, at[:-1]))
+                out.append(np.add.reduceat(m.log10(ctx, target), at[:-1]))
             p = np.concatenate(out) if out else np.zeros(0)
             yield pa.record_batch([*batch.columns[:5], pa.array(p + batch.column(5).to_numpy(zero_copy_only=False))], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 

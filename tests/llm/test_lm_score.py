@@ -48,5 +48,12 @@ def test_edges(spark):
 
 def test_class_probabilities_are_normalised():
     m = lm.LogBilinear.start(np.full(lm.CLASSES, 1 / lm.CLASSES))
-    ctx = np.array([[0, 5, lm.CLASSES]] * lm.CLASSES)
+    ctx = np.array([[0, 5, lm.CLASSES]] * lm.CLASSES).T
     assert abs((10.0 ** m.log10(ctx, np.arange(lm.CLASSES))).sum() - 1) < 1e-5
+
+
+def test_contexts_stay_inside_their_text():
+    ctx, target, at = lm.contexts([b"\x01\x02", b"", b"\x03"])
+    assert target.tolist() == [1, 2, lm.END, lm.END, 3, lm.END] and at.tolist() == [0, 3, 4, 6]
+    n = lm.CLASSES
+    assert ctx.tolist() == [[n, 1, 2, n, n, 3], [n, n, 1, n, n, n], [n] * 6]

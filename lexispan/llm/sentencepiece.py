@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .common import materialize
+from .common import materialize, mix, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 16
@@ -36,7 +36,8 @@ LITERAL = "\udc81"
 NEVER = -(1 << 60)
 #: A character without a piece costs this, beyond its bytes.
 UNKNOWN = -(1 << 24)
-MEMO = 200_000
+#: Words whose ids a worker keeps, characters of the texts it encodes together, longest word of a table.
+MEMO, TOGETHER, LONG = 300_000, 4_000_000, 40
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -89,7 +90,10 @@ class Model:
         unit = 1 if all(x == round(x) for x in score) else 1 << 16
         self.score = [round(x * unit) for x in score]
         self.longest = max(map(len, self.ids))
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        #: Every piece as (score, id), and every beginning of one as None.
+        self.table: dict[str, tuple[int, int] | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))}
+        self.table |= {p: (self.score[i], i) for p, i in self.ids.items()}
+        self._trie()
         # between a piece that ends without the space mark and one that starts with it no piece reaches, unless a piece says so
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.memo: dict[str, bytes] = {}
@@ -100,57 +104,141 @@ class Model:
         with open(path, "rb") as f:
             return cls(f.read())
 
-    def edges(self, s: str, i: int) -> list[tuple[int, int, int]]:
-        """(length, score, id) of the pieces that begin at i; id -1: the character as bytes."""
-        out = []
-        for n in range(1, min(self.longest, len(s) - i) + 1):
-            p = s[i : i + n]
-            if p not in self.prefixes:
-                break
-            k = self.ids.get(p)
-            if k is not None:
-                out.append((n, self.score[k], k))
-        if not out or out[0][0] != 1:
-            out.insert(0, (1, UNKNOWN, -1))
-        return out
-
     def forward(self, s: str, n: int, start: dict[int, int]) -> tuple[list, list]:
-        """Best score and last piece (length, id) at each place of s, from scores at the first places.
+        """Best score and last piece (begin, id) at each place of s, from scores at the first places.
 
-        Pieces begin before n only; s goes on beyond n, as far as pieces may reach."""
-        best, back = [NEVER] * (len(s) + 1), [None] * (len(s) + 1)
+        Pieces begin before n only; s goes on beyond n, as far as pieces may reach. Of equal scores
+        the one whose last piece begins first stays. Id -1 is a character as bytes."""
+        table, end = self.table, len(s)
+        best, back = [NEVER] * (end + 1), [None] * (end + 1)
         for i, v in start.items():
             best[i] = v
         for i in range(n):
-            if best[i] == NEVER:
+            base = best[i]
+            if base == NEVER:
                 continue
-            for length, v, k in self.edges(s, i):
-                if best[i] + v > best[i + length]:
-                    best[i + length], back[i + length] = best[i] + v, (length, k)
+            j = i + 1
+            got = table.get(s[i:j], 0)
+            if not got and base + UNKNOWN > best[j]:
+                best[j], back[j] = base + UNKNOWN, (i, -1)
+            while got != 0:  # 0: no piece begins so; None: some do, this is none
+                if got is not None and base + got[0] > best[j]:
+                    best[j], back[j] = base + got[0], (i, got[1])
+                j += 1
+                if j > end:
+                    break
+                got = table.get(s[i:j], 0)
         return best, back
 
     def pieces(self, s: str, back: list, end: int) -> bytes:
         """The ids that lead to end, as bytes of int32."""
         out: list[int] = []
-        while back[end] is not None:
-            n, k = back[end]
+        step = back[end]
+        while step is not None:
+            begin, k = step
             if k >= 0:
                 out.append(k)
             else:
-                c = s[end - n : end]
+                c = s[begin:end]
                 out.extend(self.byte[b] for b in reversed((SPACE if c == LITERAL else c).encode()))
-            end -= n
-        return np.array(out[::-1], "<i4").tobytes()
-
-    def word(self, w: str) -> bytes:
-        got = self.memo.get(w)
-        if got is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            got = self.pieces(w, self.forward(w, len(w), {0: 0})[1], len(w))
-            if len(w) < 64:
-                self.memo[w] = got
-        return got
+            end = begin
+            step = back[end]
+        out.reverse()
+        return struct.pack(f"<{len(out)}i", *out)
+
+    def _trie(self) -> None:
+        """The beginnings of pieces as nodes; an edge (node, character) is found by open addressing."""
+        node = {"": 0} | {p: i for i, p in enumerate(self.table, 1)}
+        self.piece = np.full(len(node), -1, np.int32)
+        self.value = np.zeros(len(node), np.int64)
+        for p, got in self.table.items():
+            if got is not None:
+                self.value[node[p]], self.piece[node[p]] = got
+        key = np.array([node[p[:-1]] << 21 | ord(p[-1]) for p in self.table], np.int64)
+        self.mask = (1 << (4 * len(key)).bit_length()) - 1
+        self.keys = np.full(self.mask + 1, -1, np.int64)
+        self.child = np.full(self.mask + 1, -1, np.int32)
+        at, todo, child = mix(key.astype(np.uint64)).astype(np.int64) & self.mask, np.arange(len(key)), np.arange(1, len(key) + 1)
+        while len(todo):  # each round places one key per free slot
+            free = todo[self.keys[at[todo]] == -1]
+            slot, first = np.unique(at[free], return_index=True)
+            self.keys[slot], self.child[slot] = key[free[first]], child[free[first]]
+            todo = todo[self.keys[at[todo]] != key[todo]]
+            at[todo] = (at[todo] + 1) & self.mask
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The nodes that these characters lead to, -1 for none."""
+        key = node.astype(np.int64) << 21 | char
+        at = mix(key.astype(np.uint64)).astype(np.int64) & self.mask
+        got = self.keys[at]
+        out = np.where(got == key, self.child[at], -1)
+        live = np.flatnonzero((got != key) & (got != -1))
+        while len(live):
+            at[live] = (at[live] + 1) & self.mask
+            got = self.keys[at[live]]
+            hit = got == key[live]
+            out[live[hit]] = self.child[at[live[hit]]]
+            live = live[~hit & (got != -1)]
+        return out
+
+    def learn(self, words: set[str]) -> None:
+        """Puts the ids of all these words into the memo, those of one length at a time."""
+        new = words - self.memo.keys()
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+            new = words
+        by_length: dict[int, list[str]] = {}
+        for w in new:
+            by_length.setdefault(len(w), []).append(w)
+        for n, group in by_length.items():
+            if n > LONG or len(group) < 16:
+                for w in group:
+                    self.memo[w] = self.pieces(w, self.forward(w, n, {0: 0})[1], n)
+            else:
+                self._learn(n, group)
+
+    def _learn(self, n: int, group: list[str]) -> None:
+        """The forward pass and the trace back of words of n characters, as in `forward` and `pieces`."""
+        chars = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n).astype(np.int64).T.copy()
+        size = len(group)
+        best = np.full((n + 1, size), NEVER, np.int64)
+        begin, ids = np.zeros((n + 1, size), np.int16), np.full((n + 1, size), -1, np.int32)
+        best[0] = 0
+        for i in range(n):
+            base, rows, node = best[i], np.arange(size), np.zeros(size, np.int32)
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                node = self.step(node, chars[j - 1, rows])
+                if j == i + 1:  # a character without a piece, as bytes
+                    none = np.flatnonzero((node < 0) | (self.piece[node] < 0))
+                    worse = none[base[none] + UNKNOWN > best[j, none]]
+                    best[j, worse], begin[j, worse], ids[j, worse] = base[worse] + UNKNOWN, i, -1
+                some = node >= 0
+                rows, node = rows[some], node[some]
+                if not len(rows):
+                    break
+                k = self.piece[node]
+                whole = np.flatnonzero(k >= 0)
+                r = rows[whole]
+                score = base[r] + self.value[node[whole]]
+                more = score > best[j, r]
+                r = r[more]
+                best[j, r], begin[j, r], ids[j, r] = score[more], i, k[whole[more]]
+        out, at, used = np.zeros((size, n), "<i4"), np.full(size, n), np.zeros(size, np.int64)
+        odd = np.zeros(size, bool)
+        live = np.arange(size)
+        while len(live):
+            end = at[live]
+            got = ids[end, live]
+            odd[live[got < 0]] = True
+            used[live] += 1
+            out[live, n - used[live]] = got
+            at[live] = begin[end, live]
+            live = live[at[live] > 0]
+        raw = out.tobytes()
+        for r, (w, k) in enumerate(zip(group, used.tolist(), strict=True)):
+            self.memo[w] = raw[4 * ((r + 1) * n - k) : 4 * (r + 1) * n]
+        for r in np.flatnonzero(odd).tolist():
+            self.memo[group[r]] = self.pieces(group[r], self.forward(group[r], n, {0: 0})[1], n)
 
     def split(self, s: str) -> list[str]:
         return self.seen.findall(s) if self.cuts else [s]
@@ -164,7 +252,9 @@ class Model:
         # the parts between places that no piece crosses have paths of their own
         first = self.pieces(s[:head], self.forward(s[:head], head, {entry: 0})[1], head)
         last = self.pieces(s[tail:], self.forward(s[tail:], n - tail, {0: 0})[1], n - tail + leave)
-        return b"".join([first, *map(self.word, self.split(s[head:tail])), last])
+        words = self.split(s[head:tail])
+        self.learn(set(words))
+        return b"".join([first, *map(self.memo.__getitem__, words), last])
 
     def _cut(self, s: str, i: int, n: int) -> int | None:
         """The first place from i on, before n, that no piece crosses."""
@@ -209,8 +299,21 @@ class Model:
         return best[len(w)]
 
     def encode(self, text: str) -> bytes:
-        s = spelled(text)
-        return self.span(s, len(s), 0, 0)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts, which are one chunk each and begin and end in state 0.
+
+        Where no piece crosses the cuts between words, a text's path is those of its words."""
+        if not self.cuts:
+            return [self.span(s, len(s), 0, 0) for s in map(spelled, texts)]
+        out: list[bytes] = []
+        for i, j in parts([len(t) for t in texts], TOGETHER):
+            split = [self.split(spelled(t)) for t in texts[i:j]]
+            self.learn(set().union(*split))
+            get = self.memo.__getitem__
+            out += [b"".join(map(get, words)) for words in split]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """The UTF-8 bytes that ids spell, without the dummy prefix."""
@@ -240,6 +343,18 @@ def states(matrices: list[np.ndarray]) -> list[int]:
     return out[::-1]
 
 
+def parts(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose sizes add up to most, or of one larger item."""
+    i = total = 0
+    for k, n in enumerate(sizes):
+        if k > i and total + n > most:
+            yield i, k
+            i, total = k, 0
+        total += n
+    if i < len(sizes):
+        yield i, len(sizes)
+
+
 _loaded: dict[str, Model] = {}
 
 
@@ -255,6 +370,7 @@ def encode(df: DataFrame, text: str = "text", path: str = MODEL, chunk: int = CH
     A null or empty text has no ids. An own column named ids is replaced. The model file must be at
     path on every machine; it is read there and never copied. Rows of a text longer than chunk go
     through the scan; only its matrices (a few hundred numbers a chunk) meet in one task."""
+    small_batches(df.sparkSession)
     own = [c for c in df.columns if c != "ids"]
     df = df.select(*[F.col(f"`{c}`") for c in own])
     schema = StructType([*df.schema, StructField("ids", BinaryType())])
@@ -263,7 +379,7 @@ def encode(df: DataFrame, text: str = "text", path: str = MODEL, chunk: int = CH
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
         for batch in batches:
-            ids = [model.encode(t or "") for t in batch.column(at).to_pylist()]
+            ids = model.encode_all([t or "" for t in batch.column(at).to_pylist()])
             yield pa.record_batch([*batch.columns, pa.array(ids, pa.binary())], names=[*own, "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,9 +10,9 @@ from lexispan.llm.common import materialize
 from lexispan.llm.exact_dedup import exact_dedup
 from lexispan.llm.minhash import near_duplicates
 from lexispan.llm.mixing import mix_sources
+from lexispan.llm.piece_merges import encode_merges
 from lexispan.llm.quality_rules import quality_rules
 from lexispan.llm.queries import SEED, table, token_digest
-from lexispan.llm.sentencepiece import encode
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -40,7 +40,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of each document, as their number, their checksum and whether they decode to the text."""
-    return token_digest(encode(docs), "doc_id", "lang", "source")
+    return token_digest(encode_merges(docs), "doc_id", "lang", "source")
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -60,5 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Neither perplexity nor the best path of pieces can be written in SQL.
+#: Neither perplexity nor the merges of pieces can be written in SQL.
 ORACLE_SQL = None

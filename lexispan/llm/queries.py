@@ -12,9 +12,10 @@ from .html_extract import extract_text
 from .lm_score import lm_score
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .piece_merges import encode_merges
 from .quality_model import classify
 from .quality_rules import quality_rules
-from .sentencepiece import decode, encode
+from .sentencepiece import decode
 from .sharding import shard_rows
 from .url_filter import filter_urls
 
@@ -73,7 +74,7 @@ def token_digest(encoded: DataFrame, *columns: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digest(encode(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
+    return token_digest(encode_merges(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,9 @@ from lexispan.llm.piece_merges import encode_merges
 from lexispan.llm.quality_rules import quality_rules
 from lexispan.llm.queries import SEED, table, token_digest
 
+#: Similarity in percent from which the stage takes documents for near duplicates; op9 has its own, 85.
+PERCENT = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -29,7 +32,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates; a null id is in no component and stays."""
-    gone = materialize(near_duplicates(docs).where("not kept").select("doc_id").distinct())
+    gone = materialize(near_duplicates(docs, percent=PERCENT).where("not kept").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -2,8 +2,8 @@
 
 A document's set is its distinct 5-word shingles, as 64-bit hashes. Each permutation is evaluated once
 and gives two signature values, its minimum and its maximum over the set, both of which agree between
-two sets with a probability equal to their Jaccard similarity. 28 bands of 6 values (84 permutations)
-miss a pair at similarity 0.85 with odds under 2 in a million.
+two sets with a probability equal to their Jaccard similarity. As many bands of 6 values are taken as miss
+a pair at the threshold with odds under 2 in a million: 28 (84 permutations) at 0.85, 44 (132) at 0.80.
 
 1. Rows are grouped by id (repeated ids: see near_duplicates); documents with the same set (by its
    size and a 128-bit digest) are one class, so that a hot group of copies is one representative.
@@ -32,8 +32,10 @@ from .common import LOWER, discard, hash_spans, materialize, slices, small_batch
 WORDS = 5
 BANDS, ROWS = 28, 6
 PERMUTATIONS = BANDS * ROWS // 2
-#: Links: 100 * intersection >= PERCENT * union.
+#: Links: 100 * intersection >= percent * union, by default this percent.
 PERCENT = 85
+#: Odds at most of missing a pair at the threshold.
+MISSED = 2e-6
 #: Shingles of a component that one task compares; a larger one is swept.
 LOCAL_SHINGLES = 16_000_000
 #: Shingles of the components that a task gets together, on average.
@@ -65,13 +67,32 @@ def shingle_sets(arr: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield i, out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def permutations(percent: int) -> int:
+    """Permutations for an even number of bands that miss a pair at this similarity with odds under MISSED."""
+    if not 50 <= percent <= 100:
+        raise ValueError(f"a threshold of 50 to 100 percent is asked for, not {percent}")
+    bands, miss = 2, 1 - (percent / 100) ** ROWS
+    while miss**bands > MISSED:
+        bands += 2
+    return bands * ROWS // 2
+
+
+def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first PERMUTATIONS are alike for every n."""
+    more = np.random.default_rng(10)
+    extra = max(n - PERMUTATIONS, 0)
+    xor, mul = more.integers(0, 2**32, extra, dtype=np.uint32), more.integers(0, 2**31, extra, dtype=np.uint32)
+    return np.concatenate([_XOR, xor])[:n], np.concatenate([_MUL, mul * np.uint32(2) + np.uint32(1)])[:n]
+
+
+def signatures(sets: list[np.ndarray], n: int = PERMUTATIONS) -> np.ndarray:
     """Minima and maxima of each permutation for non-empty sets: shape (sets, 2, permutations)."""
     flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])[:-1]
-    sig = np.empty((len(sets), 2, PERMUTATIONS), np.uint32)
-    for k in range(PERMUTATIONS):
-        x = (flat ^ _XOR[k]) * _MUL[k]
+    xor, mul = _constants(n)
+    sig = np.empty((len(sets), 2, n), np.uint32)
+    for k in range(n):
+        x = (flat ^ xor[k]) * mul[k]
         x ^= x >> np.uint32(15)
         x *= np.uint32(0x2C1B3C6D)
         sig[:, 0, k] = np.minimum.reduceat(x, at)
@@ -81,15 +102,17 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """A 64-bit key per band; minimum and maximum of one permutation are in different bands."""
-    half = sig.reshape(len(sig), 2 * (BANDS // 2), ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), half.shape[:2]).copy()
+    bands = 2 * sig.shape[2] // ROWS
+    half = sig.reshape(len(sig), bands, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), half.shape[:2]).copy()
     for k in range(ROWS):
         key = (key ^ half[:, :, k]) * np.uint64(0x9FB21C651E98DF25)
         key ^= key >> np.uint64(29)
     return key.view(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
+    n = permutations(percent)
     for batch in batches:
         ids, text = batch.column(0), batch.column(1)
         for i, sets in shingle_sets(text):
@@ -97,7 +120,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = np.flatnonzero(size)
             bands: list = [None] * len(sets)
             if len(some):
-                keys = band_keys(signatures([sets[r] for r in some]))
+                keys = band_keys(signatures([sets[r] for r in some], n))
                 for r, k in zip(some, keys, strict=True):
                     bands[r] = k
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -148,17 +171,17 @@ class Classes:
             self.n -= 1
 
 
-def near(inter: np.ndarray, union: np.ndarray) -> np.ndarray:
+def near(inter: np.ndarray, union: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Not linked, but within twice the link's distance, where a follower of the leader may link."""
-    return (100 * inter < PERCENT * union) & (100 * inter >= (2 * PERCENT - 100) * union)
+    return (100 * inter < percent * union) & (100 * inter >= (2 * percent - 100) * union)
 
 
-def links(sets: list[np.ndarray]) -> list[int]:
+def links(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
     """For each set the first position of its class, sets being in the order of their ids."""
     n = len(sets)
     if n < 3:
         inter = len(np.intersect1d(sets[0], sets[-1], assume_unique=True))
-        return [0, 0][:n] if 100 * inter >= PERCENT * (len(sets[0]) + len(sets[-1]) - inter) else [0, 1][:n]
+        return [0, 0][:n] if 100 * inter >= percent * (len(sets[0]) + len(sets[-1]) - inter) else [0, 1][:n]
     size = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
     values, inverse = np.unique(flat, return_inverse=True)
@@ -188,10 +211,10 @@ def links(sets: list[np.ndarray]) -> list[int]:
             idx = np.arange(count.sum()) + np.repeat(at[mine] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
             inter = np.bincount(posting[idx], minlength=n)
             union = size + size[x] - inter
-            for y in np.flatnonzero(100 * inter >= PERCENT * union).tolist():
+            for y in np.flatnonzero(100 * inter >= percent * union).tolist():
                 classes.join(x, y)
                 followed[y] = True
-            for y in np.flatnonzero(near(inter, union)).tolist():
+            for y in np.flatnonzero(near(inter, union, percent)).tolist():
                 doubts[y].append(x)
     return [classes.find(x) for x in range(n)]
 
@@ -203,7 +226,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0).slice(i, len(sets)), batch.column(1).slice(i, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "component", "shingles"])
 
 
-def _compare(t: pa.Table) -> pa.Table:
+def _compare(t: pa.Table, percent: int = PERCENT) -> pa.Table:
     """The classes of all components in a task's share."""
     t = t.sort_by([("component", "ascending"), ("id", "ascending")])
     ids, component = t.column("id").to_numpy(), t.column("component").to_numpy()
@@ -211,11 +234,11 @@ def _compare(t: pa.Table) -> pa.Table:
     cut = [0, *(np.flatnonzero(np.diff(component)) + 1).tolist(), len(ids)]
     label = np.empty(len(ids), np.int64)
     for i, j in zip(cut[:-1], cut[1:], strict=True):
-        label[i:j] = ids[i:j][links(sets[i:j])]
+        label[i:j] = ids[i:j][links(sets[i:j], percent)]
     return pa.table({"id": pa.array(ids), "class_id": pa.array(label)})
 
 
-def sweep(big: DataFrame) -> DataFrame:
+def sweep(big: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, class_id) for components that are too large for a task: big has (id, component, text).
 
     Each round broadcasts a block of leaders; a map over all rows finds exact similarities to them.
@@ -247,9 +270,9 @@ def sweep(big: DataFrame) -> DataFrame:
                         if cy == c and y != x:
                             inter = len(np.intersect1d(s, t, assume_unique=True))
                             union = len(s) + len(t) - inter
-                            if 100 * inter >= PERCENT * union:
+                            if 100 * inter >= percent * union:
                                 out.append((x, y, True))
-                            elif near(np.array([inter]), np.array([union]))[0]:
+                            elif near(np.array([inter]), np.array([union]), percent)[0]:
                                 out.append((x, y, False))
                 yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["id", "leader", "linked"])
 
@@ -271,16 +294,17 @@ def sweep(big: DataFrame) -> DataFrame:
     return connected(link).select(F.col("node").alias("id"), F.col("component").alias("class_id"))
 
 
-def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", local: int = LOCAL_SHINGLES) -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", local: int = LOCAL_SHINGLES, percent: int = PERCENT) -> DataFrame:
     """A row per row of df: id_col, n_shingles, component_id, kept.
 
-    component_id is the smallest id that links reach. A document without words is alone. Ids must
+    Documents link at a similarity of percent (50 to 100) or more. component_id is the smallest id that
+    links reach. A document without words is alone. Ids must
     tell documents apart: rows that repeat an id are taken as one document each with that id, and
     share its component; a null id takes part in no link and is kept, with a null component. An
     empty table gives no rows."""
     small_batches(df.sparkSession)
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = materialize(src.mapInArrow(_sign, "id long, n long, digest binary, bands array<long>"))
+    signed = materialize(src.mapInArrow(lambda batches: _sign(batches, percent), "id long, n long, digest binary, bands array<long>"))
     some = signed.where("digest is not null and id is not null")
     classes = some.groupBy("n", "digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     reps = materialize(classes)
@@ -294,10 +318,10 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", l
     todo = src.where("id is not null").join(sized, "id").select("id", "component", "big", "text")
     total = weight.where(F.col("shingles") <= local).agg(F.sum("shingles")).first()[0] or 0
     shares = 4 + total // SHARE
-    small = todo.where("not big").groupBy(F.pmod(F.hash("component"), F.lit(int(shares))).alias("share")).applyInArrow(lambda key, t: _compare(t), "id long, class_id long")
+    small = todo.where("not big").groupBy(F.pmod(F.hash("component"), F.lit(int(shares))).alias("share")).applyInArrow(lambda key, t: _compare(t, percent), "id long, class_id long")
     found = materialize(small.groupBy("id").agg(F.min("class_id").alias("class_id")))
     if not sized.where("big").isEmpty():
-        large = sweep(todo.where("big").select("id", "component", "text").dropDuplicates(["id"]))
+        large = sweep(todo.where("big").select("id", "component", "text").dropDuplicates(["id"]), percent)
         found = found.unionByName(large)
     # classes of equal sets follow their representative; then an id's own set and its class are one component
     member = signed.where("id is not null").join(reps.select("n", "digest", "rep"), ["n", "digest"], "left")

@@ -117,3 +117,19 @@ def test_minimum_and_maximum_estimate_similarity():
     x, y = np.unique(a[:1000]), np.unique(a[200:])
     s = minhash.signatures([x, y])
     assert abs((s[0] == s[1]).mean() - 800 / 1200) < 0.12
+
+
+def test_threshold_is_a_parameter(spark):
+    """Texts at a similarity of 0.82 are near duplicates in the pipeline's stage, not in op9."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(204)]
+    other = [*words[:184], *(f"v{i}" for i in range(20))]
+    a, b = shingles(" ".join(words)), shingles(" ".join(other))
+    assert 80 <= 100 * len(a & b) / len(a | b) < 85
+    rows = [(1, " ".join(words), "en", "s"), (2, " ".join(other), "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert [r.kept for r in near_duplicates(df).orderBy("doc_id").collect()] == [True, True]
+    assert [r.doc_id for r in corpus_pipeline.near(spark, df, "").collect()] == [1]
+    assert [r.kept for r in near_duplicates(df, local=0, percent=80).orderBy("doc_id").collect()] == [True, False]
+    assert [minhash.permutations(p) for p in (85, 80)] == [84, 132]

@@ -63,6 +63,12 @@ def relation(test: str, negated: bool = False, left: str = "iv", right: str = "p
     return f"doc_id IN (SELECT x.doc_id FROM {left} x WHERE {'NOT ' if negated else ''}EXISTS (SELECT 1 FROM {right} y WHERE y.doc_id = x.doc_id AND {test}))"
 
 
+def every(*words: str) -> str:
+    """Documents with all the words, by one aggregate."""
+    listed = ", ".join(f"'{w}'" for w in words)
+    return f"WITH {tokens()} SELECT doc_id FROM tok WHERE term IN ({listed}) GROUP BY doc_id HAVING count(DISTINCT term) = {len(words)}"
+
+
 def where(condition: str, more: str = "") -> str:
     return f"WITH {tokens()}{more} SELECT doc_id FROM len WHERE {condition}"
 
@@ -74,15 +80,15 @@ _INSIDE = "x.s <= y.s AND y.e <= x.e"
 #: name: (query, SQL)
 SEARCHES: dict[str, tuple[str, str]] = {
     "match_term": ("this", where(is_("this"))),
-    "match_and": ("this AND that", where(f"{is_('this')} AND {is_('that')}")),
+    "match_and": ("this AND that", every("this", "that")),
     "match_or": ("from OR was", where(f"{is_('from')} OR {is_('was')}")),
     "match_and_not": ("with AND NOT by", where(f"{is_('with')} AND NOT {is_('by')}")),
     "match_all": ("*", where("true")),
     "match_none": (", AND this", where("false")),
-    "implicit_and": ("This THAT with", where(f"{is_('this')} AND {is_('that')} AND {is_('with')}")),
+    "implicit_and": ("This THAT with", every("this", "that", "with")),
     "at_least_count": ("AT LEAST 2 OF [from was by]", where(f"({is_('from')})::INT + ({is_('was')})::INT + ({is_('by')})::INT >= 2")),
     "at_least_percent": ("AT LEAST 50% OF [from was by]", where(f"({is_('from')})::INT + ({is_('was')})::INT + ({is_('by')})::INT >= 2")),
-    "all_of": ("ALL OF [from was by]", where(f"{is_('from')} AND {is_('was')} AND {is_('by')}")),
+    "all_of": ("ALL OF [from was by]", every("from", "was", "by")),
     "alternatives": ("[from, was]", where(f"{is_('from')} OR {is_('was')}")),
     "wildcard_prefix": ("thion*", where(has("term LIKE 'thion%'"))),
     "wildcard_suffix": ("*ingre", where(has("term LIKE '%ingre'"))),
@@ -171,8 +177,9 @@ SCORES |= {
 
 def normalized_score(spark: SparkSession, sf: str) -> DataFrame:
     search = documents(spark, sf).search("from OR worthless")
-    best = search.max_score().first()[0]
-    return search.score(full=True).select("doc_id", F.round((F.col("score") / F.lit(float(best or 1.0)).cast("float")).cast("double"), 3).alias("score"))
+    scored = search.score(full=True).select("doc_id", "score")
+    share = F.col("score") / F.coalesce(F.col("max_score"), F.lit(1.0).cast("float"))
+    return scored.join(F.broadcast(search.max_score()), how="cross").select("doc_id", F.round(share.cast("double"), 3).alias("score"))  # one row is broadcast
 
 
 def score_inspect(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,8 +201,8 @@ def multi_column_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, sf: str, options: Options = DEFAULT) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(analysis.terms(F.col("text"), options)).alias("pos", "term"))
-    return docs.where("term is not null")
+    docs = analysis.with_terms(table(spark, sf, "documents").select("doc_id", "text"), F.col("text"), options)
+    return docs.select("doc_id", F.posexplode("_terms").alias("pos", "term")).where("term is not null")
 
 
 def _term_counts(options: Options) -> Query:

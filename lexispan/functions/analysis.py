@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import stemming
@@ -193,29 +194,93 @@ def terms_of(text: str | None, options: Options) -> list[str | None] | None:
     return out
 
 
-def native_terms(text: Column, options: Options = DEFAULT) -> Column:
-    """The terms array by built-in functions: for text without unusual characters and long words, not stemmed."""
-    if options.case_folding == "fold":
-        text = F.lower(text)
+def _java_words() -> str:
+    """WORDS for Java: its possessive repeats never go back, and runs of _ alone are no match."""
+    letters, digits = f"[{LETTER}]++(?:[:'.][{LETTER}]++)*+", f"[{DIGIT}]++(?:['.,;][{DIGIT}]++)*+"
+    return f"_*+(?:{letters}|{digits})(?:{letters}|{digits}|_++)*+"
+
+
+JAVA_WORDS = _java_words()
+
+
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+#: UNUSUAL with its characters one by one, which Java looks up in a table.
+JAVA_UNUSUAL = "[^" + "".join(f"\\x{i:02x}" for i in range(256) if not re.match(UNUSUAL, chr(i))) + "]"
+
+
+def is_plain(text: Column, options: Options = DEFAULT) -> Column:
+    """Whether native_terms holds for a text: no unusual characters and no very long words."""
+    most = max(1, options.max_token_bytes // 2)
+    long_word = F.exists(F.split(text, " "), lambda w: (F.octet_length(w) >= most) & w.rlike(rf"\S{{{most}}}"))
+    return (_ascii(text) | ~text.rlike(JAVA_UNUSUAL)) & ~long_word
+
+
+def native_fold(text: Column, options: Options = DEFAULT) -> Column:
     if options.accent_folding == "fold":
-        text = F.translate(text, _PLAIN, _BASE)
+        text = F.when(_ascii(text), text).otherwise(F.translate(text, _PLAIN, _BASE))
+    return F.lower(text) if options.case_folding == "fold" else text
+
+
+def native_terms(text: Column, options: Options = DEFAULT) -> Column:
+    """The terms array by built-in functions: for text that is plain, not stemmed."""
+    text = native_fold(text, options)
     if options.tokenizer == "whitespace":
         return F.filter(F.split(text, r"[\s\x85\xa0]+"), lambda t: t != "")
-    return F.filter(F.regexp_extract_all(text, F.lit(WORDS), 0), lambda t: t.rlike(f"[{LETTER}{DIGIT}]"))
+    return F.regexp_extract_all(text, F.lit(JAVA_WORDS), 0)
 
 
-def terms(text: Column, options: Options = DEFAULT) -> Column:
-    """The terms array of a text; null for null."""
-
+def general_terms(text: Column, options: Options = DEFAULT) -> Column:
     @F.pandas_udf("array<string>")
     def general(texts: pd.Series) -> pd.Series:
         return pd.Series([terms_of(t, options) for t in texts], dtype=object)
 
+    return general(text)
+
+
+def terms(text: Column, options: Options = DEFAULT) -> Column:
+    """The terms array of a text as one expression; null for null.
+
+    All rows visit Python, plain ones as nulls; `with_terms` keeps those in the JVM."""
+    if options.stemmer is not None:
+        return general_terms(text, options)
+    plain = is_plain(text, options)
+    return F.when(text.isNull(), F.lit(None)).when(plain, native_terms(text, options)).otherwise(general_terms(F.when(~plain, text), options))
+
+
+#: Bytes of a table for each core below which its rows are spread over all cores before they are analyzed.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is too small to have a full split for each core, evenly over the cores; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if 1 << 20 < size < cores * SMALL else df
+
+
+def _bound(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """df with a column that is computed once: no filter moves below a generator of one row."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def with_terms(df: DataFrame, text: Column, options: Options = DEFAULT, need: Callable[[Column], Column] | None = None, name: str = "_terms") -> DataFrame:
+    """The rows whose text is not null, with their terms, analyzed once.
+
+    Plain texts never leave the JVM; the others go through an Arrow UDF, in a branch of their own.
+    need: of a plain text as folded, a condition without which the row isn't wanted."""
+    df = df.where(text.isNotNull())
     if options.stemmer is not None:
-        return general(text)
-    long_word = rf"\S{{{max(1, options.max_token_bytes // 2)},}}"
-    plain = ~text.rlike(UNUSUAL) & ~text.rlike(long_word)
-    return F.when(text.isNull(), F.lit(None)).when(plain, native_terms(text, options)).otherwise(general(F.when(~plain, text)))
+        return _bound(df, general_terms(text, options), name)
+    if df.isStreaming:  # one source, read once
+        return _bound(df, terms(text, options), name)
+    df = _bound(spread(df), is_plain(text, options), "_plain")
+    usual, other = df.where("_plain"), df.where("not _plain")
+    if need is not None:
+        usual = usual.where(F.exists(F.array(native_fold(text, options)), need))
+    return _bound(usual.drop("_plain"), native_terms(text, options), name).union(_bound(other.drop("_plain"), general_terms(text, options), name))
 
 
 def token_count(terms_: Column) -> Column:

@@ -5,6 +5,7 @@ Nothing is stored by default: a search reads the table and Spark prunes and push
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -30,18 +31,27 @@ class SearchIndex:
         self.text = F.col(text) if isinstance(text, str) else text
         self.where = F.expr(where) if isinstance(where, str) else where
         self.df = df
+        self._known = scoring.Stats(-1, 0, {})
         self.terms = analysis.terms(self.text, options)
         df.where(self.where if self.where is not None else F.lit(True)).select(self.text)  # fails here if they don't resolve
 
     # documents
-    def documents(self, df: DataFrame | None = None) -> DataFrame:
-        """The rows that the index covers, with their terms as _terms."""
+    def documents(self, df: DataFrame | None = None, need: Callable[[Column], Column] | None = None) -> DataFrame:
+        """The rows that the index covers, with their terms as _terms; need: see analysis.with_terms."""
         df = self.df if df is None else df
         if self.where is not None:
             df = df.where(self.where)
         if "_terms" in df.columns:
             return df
-        return df.where(self.text.isNotNull()).withColumn("_terms", self.terms)
+        return analysis.with_terms(df, self.text, self.options, need)
+
+    def stats(self, words: list[str]) -> scoring.Stats:
+        """Of all covered rows; the table is taken for unchanging, so what is known isn't counted again."""
+        new = [w for w in dict.fromkeys(words) if w not in self._known.df]
+        if new or self._known.n < 0:
+            got = scoring.stats(self.documents(), F.col("_terms"), new)
+            self._known = scoring.Stats(got.n, got.length, self._known.df | got.df)
+        return self._known
 
     def materialize(self, path: str) -> SearchIndex:
         """An index over the rows and their terms, written to path."""
@@ -58,7 +68,10 @@ class SearchIndex:
         """Whether a row matches; null where the text or the query is null."""
         if query is None:
             return F.lit(None).cast("boolean")
-        return matching.matches(self.compile(query), self.terms)
+        node = self.compile(query)
+        if not matching.is_native(node):
+            return matching.matches(node, self.terms)
+        return F.transform(F.array(self.terms), lambda t: matching.matches(node, t))[0]  # the terms are bound once
 
     def match_any(self, queries: list[str | None]) -> Column:
         """text matches any of the queries, by three-valued logic; false for an empty list."""
@@ -88,7 +101,7 @@ class Search:
 
     def rows(self, df: DataFrame | None = None) -> DataFrame:
         """Matching rows, with _terms."""
-        return self.index.documents(df).where(self.predicate())
+        return self.index.documents(df, matching.needed(self.plain)).where(self.predicate())
 
     def result(self) -> DataFrame:
         return self.rows().drop("_terms")
@@ -101,7 +114,7 @@ class Search:
     # scores
     def _terms(self, full: bool, dense_ratio: float | None, add: list[str] | None, replace: list[str] | None) -> tuple[list[scoring.Weighted], scoring.Stats]:
         ws = scoring.weighted(self.weighing, self.index.options, add, replace, full)
-        s = scoring.stats(self.index.documents(), F.col("_terms"), [w.term for w in ws])
+        s = self.index.stats([w.term for w in ws])
         return scoring.retained(ws, s, None if full else dense_ratio), s
 
     def score_column(self, full: bool = False, dense_ratio: float = 0.10, k1: float | None = None, b: float | None = None, term_add: list[str] | None = None, term_replace: list[str] | None = None) -> Column:
@@ -192,5 +205,5 @@ def search_join(docs: DataFrame, text: str, queries: DataFrame, query: str, opti
 
         return pd.Series([one(list(t)) if t is not None else [] for t in terms], dtype=object)
 
-    hits = docs.withColumn("_query", F.explode(matching_queries(analysis.terms(F.col(text), options))))
-    return hits.join(queries, F.col("_query") == F.col(query)).drop("_query")
+    hits = analysis.with_terms(docs, F.col(text), options).withColumn("_query", F.explode(matching_queries(F.col("_terms"))))
+    return hits.drop("_terms").join(queries, F.col("_query") == F.col(query)).drop("_query")

@@ -6,6 +6,8 @@ only on rows that pass a necessary condition, which is built-in and comes first.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -17,7 +19,6 @@ from ..plans.nodes import LEAVES, Node, walk
 from . import spans
 
 
-
 def leaf_test(leaf: Node, t: Column) -> Column:
     """Whether term t fits a leaf."""
     if leaf.op == "term":
@@ -62,6 +63,28 @@ def required(node: Node, terms: Column) -> Column:
     return required(kids[0], terms)
 
 
+def _phrase(words: list[str], terms: Column) -> Column:
+    """Whether terms follow each other: a search in all terms joined by spaces, which no term holds."""
+    text = F.concat(F.lit(" "), F.array_join(terms, " ", "\0"), F.lit(" "))
+    return F.contains(text, F.lit(f" {' '.join(words)} "))
+
+
+def _close(a: Node, b: Node, terms: Column, near: int, in_order: bool) -> Column:
+    """Whether leaf b is at most near places after leaf a, or before it: one pass, whatever the counts."""
+    never = F.lit(-(1 << 30))
+    at = F.struct(F.lit(0).alias("i"), never.alias("a"), never.alias("b"), F.lit(False).alias("hit"))
+
+    def step(s: Column, t: Column) -> Column:
+        is_a, is_b = (F.coalesce(leaf_test(k, t), F.lit(False)) for k in (a, b))
+        hit = is_b & (s["i"] - s["a"] <= near)
+        if not in_order:
+            hit = hit | (is_a & (s["i"] - s["b"] <= near))
+        last = lambda here, name: F.when(here, s["i"]).otherwise(s[name]).alias(name)
+        return F.struct((s["i"] + 1).alias("i"), last(is_a, "a"), last(is_b, "b"), (s["hit"] | hit).alias("hit"))
+
+    return F.aggregate(terms, at, step, lambda s: s["hit"])
+
+
 def _native_span(root: Node, terms: Column) -> Column | None:
     """Exact phrases of terms, and THEN or NEAR of two leaves."""
     if root.op in LEAVES:
@@ -69,27 +92,19 @@ def _native_span(root: Node, terms: Column) -> Column | None:
     if root.op != "maxgaps" or root.kids[0].op not in ("ordered", "unordered"):
         return None
     inner = root.kids[0]
+    each = reduce(lambda a, b: a & b, [has(k, terms) for k in dict.fromkeys(inner.kids)], F.lit(True)) if all(k.op in LEAVES for k in inner.kids) else None
     if inner.op == "ordered" and root.arg == 0 and all(k.op == "term" for k in inner.kids):
-        size = len(inner.kids)
-        first = positions(inner.kids[0], terms)
-        follows = lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(terms, i + F.lit(k)) == inner.kids[k].arg, F.lit(False)) for k in range(1, size)])
-        return reduce(lambda a, b: a & b, [has(k, terms) for k in dict.fromkeys(inner.kids)]) & F.exists(first, follows)
-    if len(inner.kids) == 2 and all(k.op in LEAVES for k in inner.kids):
-        a, b = (positions(k, terms) for k in inner.kids)
-        near = root.arg + 1
-        if inner.op == "ordered":
-            fits = lambda x, y: (y > x) & (y - x <= near)
-        else:
-            fits = lambda x, y: (x != y) & (F.abs(x - y) <= near)
-        both = has(inner.kids[0], terms) & has(inner.kids[1], terms)
-        # the document's terms between the two are looked at, never all pairs of positions
-        if inner.op == "ordered" and near <= 16:
-            after = lambda i: F.exists(F.slice(terms, i + F.lit(2), F.lit(near)), lambda t: F.coalesce(leaf_test(inner.kids[1], t), F.lit(False)))
-            return both & F.exists(a, after)
-        return both & F.exists(a, lambda x: F.exists(b, lambda y: fits(x, y)))
+        return each & _phrase([k.arg for k in inner.kids], terms)
+    if len(inner.kids) == 2 and each is not None:
+        return each & _close(*inner.kids, terms, root.arg + 1, inner.op == "ordered")
     return None
 
 
+def is_native(node: Node) -> bool:
+    """Whether a query is built-in functions alone."""
+    return all(_native_span(n.kids[0], F.lit(None)) is not None for n in walk(node) if n.op == "span")
+
+
 def span_column(root: Node, terms: Column, intervals: bool = False) -> Column:
     """Whether a span tree has an interval, or its intervals as an array of (s, e)."""
     if not intervals and (native := _native_span(root, terms)) is not None:
@@ -138,7 +153,7 @@ def predicate(node: Node, terms: Column) -> Column:
 
 def matches(node: Node, terms: Column) -> Column:
     """Whether a document matches; null for a null document, false for one without terms."""
-    return F.when(terms.isNull(), F.lit(None).cast("boolean")).otherwise((token_count(terms) > 0) & predicate(node, terms))
+    return F.when(terms.isNull(), F.lit(None).cast("boolean")).otherwise(F.exists(terms, lambda t: t.isNotNull()) & predicate(node, terms))
 
 
 def intervals(node: Node, terms: Column) -> Column:
@@ -153,7 +168,6 @@ def intervals(node: Node, terms: Column) -> Column:
 
 def holds(node: Node, terms: list[str | None]) -> bool:
     """The same predicate in Python, for query texts that come with the rows."""
-    import re
 
     def fits(leaf: Node, t: str | None) -> bool:
         if t is None:
@@ -210,6 +224,43 @@ def anchors(node: Node) -> frozenset[str] | None:
     return anchors(kids[0])
 
 
+def _literal(leaf: Node) -> str | None:
+    """Text that every term of a leaf holds."""
+    if leaf.op == "term":
+        return leaf.arg
+    if leaf.op == "regex":
+        pieces = re.split(r"\.\*|\.", leaf.arg)
+        return max(pieces, key=len) or None if all(p.isalnum() or not p for p in pieces) else None
+    if leaf.op == "fuzzy":
+        text, prefix, _ = leaf.arg
+        return text[:prefix] or None
+    return None
+
+
+def clauses(node: Node) -> list[frozenset[str]]:
+    """Sets of texts; the terms of every matching document hold one of each set."""
+    op, kids = node.op, node.kids
+    if op in LEAVES:
+        text = _literal(node)
+        return [frozenset([text])] if text else []
+    if op in _BOTH or op == "atleast" and node.arg == len(kids) > 0:
+        return list(dict.fromkeys(c for k in kids for c in clauses(k)))
+    if op in ("or", "atleast"):
+        if not kids or op == "atleast" and node.arg < 1:
+            return []
+        each = [min(clauses(k), key=len, default=None) for k in kids]
+        return [] if None in each else [frozenset().union(*each)]
+    return clauses(kids[0]) if kids and op != "not" else []
+
+
+def needed(node: Node) -> Callable[[Column], Column] | None:
+    """A necessary condition of a document's folded text."""
+    found = clauses(node)
+    if not found:
+        return None
+    return lambda text: reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in sorted(c)]) for c in found])
+
+
 def edits(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

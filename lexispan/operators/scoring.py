@@ -117,10 +117,6 @@ class TermScorer:
         k = max((i for i, least in enumerate(BUCKETS) if tf >= least), default=0)
         return self.top[k] / (self.low[k] + self.per_length * np.float32(length))
 
-    def of(self, tf: Column, length: Column) -> Column:
-        """The score with the frequency and the length bound once, not in every branch."""
-        return F.transform(F.array(F.struct(tf.alias("tf"), length.alias("n"))), lambda x: self.column(x["tf"], x["n"]))[0]
-
     def column(self, tf: Column, length: Column) -> Column:
         def pick(values: list[np.float32]) -> Column:
             out = _f(values[0])
@@ -134,12 +130,19 @@ class TermScorer:
 
 def score(terms: Column, ws: list[Weighted], s: Stats, k1: float, b: float) -> Column:
     """The sum of the terms' scores, in their order; a document without them has 0."""
-    length = token_count(terms).cast("float")
-    out = _f(0.0)
-    for w in ws:
-        scorer = TermScorer(idf(s.n, s.df[w.term]), w.boost, k1, b, s.average)
-        out = (out + scorer.of(frequency(terms, w.term), length)).cast("float")
-    return out
+    if not ws:
+        return _f(0.0)
+    scorers = [TermScorer(idf(s.n, s.df[w.term]), w.boost, k1, b, s.average) for w in ws]
+    counts = F.struct(token_count(terms).cast("float").alias("n"), *[frequency(terms, w.term).alias(f"f{i}") for i, w in enumerate(ws)])
+
+    def total(x: Column) -> Column:
+        out = _f(0.0)
+        for i, scorer in enumerate(scorers):
+            out = (out + scorer.column(x[f"f{i}"], x["n"])).cast("float")
+        return out
+
+    # the length and the frequencies are bound once, not in every branch
+    return F.transform(F.array(counts), total)[0]
 
 
 def frequency(terms: Column, word: str) -> Column:

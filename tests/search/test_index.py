@@ -77,11 +77,38 @@ def test_intervals(spark):
     assert sorted((r.s, r.e) for r in ix.search("brew* THEN/1 beer").intervals().collect()) == [(0, 1), (2, 3)]
 
 
-def test_plan_filters_before_python(spark):
-    plan = index(spark, ["a b c"]).search("(a THEN/3 c) ENCLOSES b").rows()._jdf.queryExecution().executedPlan().toString()
-    assert "ArrowEvalPython" in plan
-    native = index(spark, ["a b c"]).search('"a b" OR a NEAR/2 c').rows().select("id")._jdf.queryExecution().executedPlan().toString()
-    assert native.count("ArrowEvalPython") <= 1  # the analysis of unusual text alone
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plain_rows_stay_in_the_jvm(spark):
+    """One branch has the plain texts and no Python; each branch analyzes once, whatever the query asks of the terms."""
+    for q in ['"a b" OR a NEAR/2 c', "a AND NOT b", "a~1 OR b*", "a THEN/9 b"]:
+        text = plan(index(spark, ["a b c"]).search(q).rows().select("id"))
+        assert text.count("ArrowEvalPython") == 1 and text.count("regexp_extract_all(") == 1, q
+        usual, other = text[text.index("Union") :].split("regexp_extract_all(")[1], text[text.index("ArrowEvalPython") :]
+        assert "ArrowEvalPython" not in usual.split("Generate")[0] and "NOT _plain" in other
+    scored = plan(index(spark, ["a b c"]).search("a OR b").score(full=True))
+    assert scored.count("ArrowEvalPython") == 1 and scored.count("regexp_extract_all(") == 1
+    spans = plan(index(spark, ["a b c"]).search("(a THEN/3 c) ENCLOSES b").rows())
+    assert spans.count("regexp_extract_all(") == 1
+
+
+def test_prefilter_loses_nothing(spark):
+    texts = ["Bèer x", "beér", "xbeery", "BEER wine", "wine", "東京 beer", "be er", "a_beer beer", "b" * 200 + " beer"]
+    ix = index(spark, texts)
+    for q in ["beer", "beer OR wine", "beer AND wine", "be*", "*ee*", "b?er", "beer~1", "AT LEAST 1 OF [beer wine]", "wine AND NOT beer", "* AND NOT beer", "beer THEN/1 wine", "(beer OR wine) IN FIRST 1 WORDS"]:
+        node = ix.compile(q)
+        assert ids(ix.search(q).rows()) == [i for i, t in enumerate(texts, 1) if matching.holds(node, terms_of(t, Options()))], q
+
+
+def test_near_in_long_documents(spark):
+    """Every pair of places is not looked at: 20,000 of each word take no longer than one pass."""
+    ix = index(spark, ["a b " * 20000, "a " + "x " * 30 + "b", "b " + "x " * 20 + "a", "a " * 3])
+    assert ids(ix.search("a NEAR/25 b").rows()) == [1, 3]
+    assert ids(ix.search("a THEN/40 b").rows()) == [1, 2]
+    assert ids(ix.search("a NEAR/0 a").rows()) == [4]
+    assert ids(ix.search('"a a a"').rows()) == [4]
 
 
 def test_join_driven_queries(spark):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexispan.llm.common import materialize
-from lexispan.llm.exact_dedup import exact_dedup
+from lexispan.llm.exact_dedup import distinct_texts
 from lexispan.llm.minhash import near_duplicates
 from lexispan.llm.mixing import mix_sources
 from lexispan.llm.piece_merges import encode_merges
@@ -21,13 +21,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and the perplexity bands keep."""
+    """Documents that the rules and the perplexity bands keep; those without text go."""
     return quality_rules(docs).where("kept").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return exact_dedup(docs).where("kept").select(*docs.columns)
+    """One document of each group of equal texts; null and empty texts are equal."""
+    return distinct_texts(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +37,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the sources' target weights, in the order of a hash."""
+    """Documents repeated to the sources' target weights, in the order of a hash; null is a source of its own."""
     return mix_sources(docs, alpha=0.5, seed=SEED).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of each document, as their number, their checksum and whether they decode to the text."""
+    """The tokens of each document, as their number, their checksum and whether they decode to the text; none for a null text."""
     return token_digest(encode_merges(docs), "doc_id", "lang", "source")
 
 

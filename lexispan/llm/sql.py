@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from .queries import RULES, SEED, SHARDS
 from .sharding import _P, ROUNDS, round_keys
-from .url_filter import BLOCKED_WORDS, DAMPING, ITERATIONS, LINK, LOWER, THRESHOLD, UPPER, split_rule
+from .url_filter import BLOCKED_SHARE, BLOCKED_WORDS, DAMPING, LINK, LOWER, THRESHOLD, UPPER, split_rule
+
+#: Steps of the SQL for op3; in the tables at hand later ones bring nothing.
+STEPS = 9
 
 #: Passes of the network that the SQL for op1 allows for; more than the tables at hand need.
 WALKS = 6
@@ -89,23 +92,24 @@ def _op3() -> str:
     link = LINK.replace("'", "''")
     lower = f"'{UPPER}', '{LOWER}'"
     steps = []
-    for i in range(ITERATIONS):
+    for i in range(STEPS):
         steps.append(f"""k{i + 1} AS MATERIALIZED (SELECT host, sum(t) AS t, sum(d) AS d FROM (SELECT * FROM k0
           UNION ALL SELECT dst, t * forth, 0.0 FROM g JOIN k{i} ON src = host UNION ALL SELECT src, 0.0, d * back FROM g JOIN k{i} ON dst = host) GROUP BY host)""")
     return f"""
 WITH a AS (SELECT page_id, html, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages),
 h AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), {lower}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
 j AS MATERIALIZED (SELECT page_id, html, host, path, {rule} AS rule FROM h),
-seed AS (SELECT host, avg(coalesce(rule IN ({listed("allow")}), false)::INT) AS t, list_has_any(regexp_split_to_array(host, '[.\\-_0-9:@]+'), [{words}])::INT::DOUBLE AS d FROM j WHERE host <> '' GROUP BY host),
+share AS (SELECT host, avg(coalesce(rule IN ({listed("allow")}), false)::INT) AS t, avg(coalesce(rule IN ({listed("block")}), false)::INT) AS r FROM j WHERE host <> '' GROUP BY host),
+seed AS (SELECT host, t, CASE WHEN list_has_any(regexp_split_to_array(host, '[.\\-_0-9:@]+'), [{words}]) THEN 1.0::DOUBLE WHEN r >= {BLOCKED_SHARE} THEN r ELSE 0 END AS d FROM share),
 k0 AS MATERIALIZED (SELECT host, {1 - DAMPING} * CASE WHEN d > 0 THEN 0 ELSE t END AS t, {1 - DAMPING} * d AS d FROM seed WHERE t > 0 OR d > 0),
 f AS (SELECT DISTINCT host, regexp_replace(host, '^[^.]+\\.', '') AS up FROM j WHERE regexp_matches(host, '^[^.]+\\.[^.]+\\.[^.]+')),
 n AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), {lower}) AS dst FROM j),
-e AS (SELECT src, dst, sum(w) AS w FROM (SELECT host AS src, up AS dst, 1.0::DOUBLE AS w FROM f UNION ALL SELECT up, host, 1.0 FROM f
+e AS (SELECT src, dst, sum(w) AS w FROM (SELECT host AS src, up AS dst, 1.0::DOUBLE AS w FROM f
        UNION ALL SELECT src, dst, 1.0 FROM n WHERE src <> dst AND src <> '' AND dst <> '') GROUP BY src, dst),
 g AS MATERIALIZED (SELECT src, dst, {DAMPING} * w / sum(w) OVER (PARTITION BY src) AS forth, {DAMPING} * w / sum(w) OVER (PARTITION BY dst) AS back FROM e),
 {", ".join(steps)}
 SELECT page_id, j.host, path, rule, CASE WHEN rule IN ({listed("allow")}) THEN 'allow' WHEN rule IN ({listed("block")}) THEN 'block'
-  WHEN d > {THRESHOLD} * (t + d) THEN 'block' ELSE 'allow' END AS verdict FROM j LEFT JOIN k{ITERATIONS} k ON j.host = k.host"""
+  WHEN d > {THRESHOLD} * (t + d) THEN 'block' ELSE 'allow' END AS verdict FROM j LEFT JOIN k{STEPS} k ON j.host = k.host"""
 
 
 def oracle_sql() -> dict[str, str]:

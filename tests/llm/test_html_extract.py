@@ -33,7 +33,7 @@ SIDE = "<header>Site</header><div class='sidebar'>s</div><div id=cookie-notice>c
     ],
 )
 def test_blocks(page, text):
-    got = extract(page, frozenset())
+    got = extract(page)
     assert got == text or (got.endswith(text) and "menu more" in got)
 
 
@@ -48,3 +48,49 @@ def test_edges(spark):
     out = sorted((r.page_id or 0, len(r.text)) for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
     assert out == [(0, 1), (1, 0), (1, 0), (2, 0), (3, 249999)]
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+NEUTRAL = "<body><div class=a1><a href=1>Home</a> <a href=2>News {i}</a></div><div class=a2>Offer {i}: buy {w} now</div><div class=a3><h1>Title {i}</h1><p class=notice-period>{body}</p><p>Read more on our site</p><div class=legal>Terms of {i} apply, {w}.</div></div><div class=a4>Printed {i}</div><div class=a5>The Site</div></body>"
+
+
+def neutral(i):
+    body = " ".join(f"word{(i * 7 + k) % 50}" for k in range(20 + 3 * i))
+    return NEUTRAL.format(i=i, w=f"thing{i}", body=body), f"Title {i}\n\n{body}\n\nTerms of {i} apply, thing{i}."
+
+
+def texts(spark, rows):
+    return {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_classes_decide_without_article_elements(spark):
+    """Neutral names only: the nested template finds the main element and drops what repeats inside it, links and offers."""
+    rows = [(i, f"http://n.test/{i}", neutral(i)[0]) for i in range(1, 13)]
+    assert texts(spark, rows) == {i: neutral(i)[1] for i in range(1, 13)}
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    same = "<body><div class=a1>menu</div><div class=a3><p>" + "the same text " * 20 + "</p></div></body>"
+    got = texts(spark, [(i, "http://copies.test/", same) for i in range(9)])
+    assert all("the same text the same text" in t for t in got.values())
+
+
+def test_a_page_of_another_make_on_a_host_with_a_template(spark):
+    rows = [(i, f"http://n.test/{i}", neutral(i)[0]) for i in range(1, 13)] + [(99, "http://n.test/99", "<table><tr><td>" + "odd one " * 30 + "</table>"), (98, "http://n.test/98", ""), (97, "http://n.test/97", None)]
+    got = texts(spark, rows)
+    assert got[99] == ("odd one " * 30).strip() and got[98] == got[97] == ""
+    assert all(got[i] == neutral(i)[1] for i in range(1, 13))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article class="post search">body</article>', "body"),
+        ("<article><p class='notice-period'>a</p><div class=legal>b</div><div class=notice>c</div><div class='related-links'>d</div></article>", "a\n\nb"),
+        ("<div class='with-sidebar has-header'><article>x</article></div>", "x"),
+        ("<div class='page header'><main>x</main></div>", "x"),
+        ("<div class=comments><article class=comment>x</article></div><p>y", "y"),
+        ("<article>main text<aside>s</aside><footer>f</footer><form>g</form></article><section id=comments><p>x</section>", "main text"),
+    ],
+)
+def test_names_decide_little(page, text):
+    assert extract(page) == text

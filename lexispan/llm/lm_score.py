@@ -1,7 +1,8 @@
 """Language-model scores: a log-bilinear model, trained in numpy by noise-contrastive estimation.
 
-Words are factored: the most frequent have a class each, the others a class by their shape (length,
-last character, accents), and within a class a word has its smoothed share of the class's counts. The
+Words are factored: the most frequent have a class each, the more the larger the corpus (`top_words`), the
+others a class by their shape (length, last character, accents), and within a class a word has its
+smoothed share of the class's counts, unknown words together having that of one more. The
 log-bilinear model predicts the class from the three before it: each context class has a vector, each
 place a matrix, and the product of their sum with the output vectors, normalised over all classes,
 gives the class's probability. So every token, known or not, has a normalised log-probability.
@@ -12,13 +13,16 @@ gives the class's probability. So every token, known or not, has a normalised lo
    per block, however frequent it is.
 3. The counts go back to their blocks, whose texts become class numbers, with the sums of the
    smoothed unigram (`base_score`) and of the shares within classes.
-4. Each task trains on all its training texts from the same start; the parameters are averaged by
-   their tokens (in groups first, so that the driver gets a bounded number of vectors), twice.
+4. The training texts are dealt into shards of about SHARD tokens by a hash of their ids, in the order of
+   the ids, so that the model does not depend on files or partitions. Each shard trains from the same
+   start; the parameters are averaged by their tokens (in groups first, so that the driver gets a bounded
+   number of vectors), twice.
 5. Batches of class numbers are scored by matrix products.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +35,12 @@ from pyspark.sql import functions as F
 from .common import LOWER, hash_spans, id_bucket, materialize, slices, spans, utf8
 
 BLOCK_BYTES = 12 << 20
-TOP, SHAPES = 192, 60
-CLASSES = TOP + SHAPES + 1
-END = CLASSES - 1
+SHAPES = 60
+#: Words with a class of their own up to so many training tokens, and how many more for each doubling: what a
+#: token costs is in proportion to the classes, so they grow with the logarithm of the corpus.
+TOP, TOP_TOKENS, TOP_MORE = 192, 4_000_000, 64
 CONTEXT, DIM = 3, 24
+SHARD = 4_000_000
 BATCH, NOISE, RATE, ROUNDS = 2048, 64, 0.08, 2
 #: Words whose count is this share of a partition's keep their hash, as candidates for a class of their own.
 HEAVY = 20_000
@@ -44,6 +50,15 @@ SCORED = 1024
 SEED = 7
 
 
+def top_words(tokens: int) -> int:
+    return TOP + int(TOP_MORE * math.log2(max(1.0, tokens / TOP_TOKENS)))
+
+
+def share_in_class(c: np.ndarray, mass: np.ndarray, types: np.ndarray) -> np.ndarray:
+    """The share of a word of count c in a class of so much count and so many known words."""
+    return (c + 0.5) / (mass + 0.5 * (types + 1))
+
+
 def shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A class below SHAPES for each word, from its bytes."""
     last = data[ends - 1]
@@ -123,22 +138,22 @@ COUNTED = ["block", "lid", "c", "shape", "first", "word"]
 
 
 class LogBilinear:
-    """Parameters in one float32 vector, viewed as arrays."""
-
-    SHAPES = (("inp", (CLASSES + 1, DIM)), ("mat", (CONTEXT, DIM, DIM)), ("out", (CLASSES, DIM)), ("bias", (CLASSES,)))
-    SIZE = sum(int(np.prod(s)) for _, s in SHAPES)
-
-    def __init__(self, vector: np.ndarray) -> None:
-        self.vector, at = vector, 0
-        for name, shape in self.SHAPES:
-            n = int(np.prod(shape))
-            setattr(self, name, vector[at : at + n].reshape(shape))
-            at += n
+    """Parameters for n classes in one float32 vector, viewed as arrays."""
+
+    def __init__(self, n: int, vector: np.ndarray | None = None) -> None:
+        self.n = n
+        shapes = (("inp", (n + 1, DIM)), ("mat", (CONTEXT, DIM, DIM)), ("out", (n, DIM)), ("bias", (n,)))
+        self.vector = vector if vector is not None else np.zeros(sum(int(np.prod(s)) for _, s in shapes), np.float32)
+        at = 0
+        for name, shape in shapes:
+            size = int(np.prod(shape))
+            setattr(self, name, self.vector[at : at + size].reshape(shape))
+            at += size
 
     @classmethod
     def start(cls, share: np.ndarray) -> LogBilinear:
         rng = np.random.default_rng(SEED)
-        m = cls(np.zeros(cls.SIZE, np.float32))
+        m = cls(len(share))
         m.inp[:] = rng.normal(0, 0.1, m.inp.shape)
         m.out[:] = rng.normal(0, 0.1, m.out.shape)
         m.mat[:] = np.eye(DIM, dtype=np.float32) / CONTEXT
@@ -171,9 +186,9 @@ class LogBilinear:
 
     def train(self, ctx: np.ndarray, target: np.ndarray, share: np.ndarray, state: np.ndarray, rng: np.random.Generator) -> None:
         """Steps of NCE over batches, each with noise shared by its targets; Adagrad."""
-        grad = LogBilinear(np.zeros(self.SIZE, np.float32))
+        grad = LogBilinear(self.n)
         log_noise = np.log(NOISE * share).astype(np.float32)
-        drawn = rng.choice(CLASSES, (-(-len(target) // BATCH), NOISE), p=share)
+        drawn = rng.choice(self.n, (-(-len(target) // BATCH), NOISE), p=share)
         for a, noise in zip(range(0, len(target), BATCH), drawn, strict=True):
             c, t = ctx[:, a : a + BATCH], target[a : a + BATCH]
             each = self.projected()
@@ -192,7 +207,7 @@ class LogBilinear:
             grad.vector[:] = 0
             _add(grad.out, t, up[:, None] * h)
             np.add.at(grad.out, noise, -(q.T @ h))
-            grad.bias += np.bincount(t, weights=up, minlength=CLASSES)
+            grad.bias += np.bincount(t, weights=up, minlength=self.n)
             np.add.at(grad.bias, noise, -q.sum(0))
             dh = up[:, None] * right - q @ wrong
             for j in range(CONTEXT):  # added up per class first, then through the matrices
@@ -211,15 +226,15 @@ def _add(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     to[r[cut]] += np.add.reduceat(values.take(order, 0), cut)
 
 
-def contexts(classes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts and targets of all tokens, each text ended by END and begun by CLASSES; first token of each text."""
-    lens = np.array([len(c) + 1 for c in classes], np.int64)
+def contexts(classes: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts and targets of all tokens, of n classes: each text is ended by n - 1 and begun by n; first token of each text."""
+    lens = np.array([len(c) // 2 + 1 for c in classes], np.int64)
     at = np.concatenate([[0], np.cumsum(lens)])
-    target = np.full(at[-1], END, np.int64)
+    target = np.full(at[-1], n - 1, np.int64)
     inner = np.ones(at[-1], bool)
     inner[at[1:] - 1] = False
-    target[inner] = np.frombuffer(b"".join(classes), np.uint8)
-    ctx = np.full((CONTEXT, len(target)), CLASSES, np.int16)
+    target[inner] = np.frombuffer(b"".join(classes), "<u2")
+    ctx = np.full((CONTEXT, len(target)), n, np.int16)
     target = target.astype(np.int16)
     place = np.minimum(np.arange(len(target)) - np.repeat(at[:-1], lens), CONTEXT)
     for j in range(CONTEXT):
@@ -227,7 +242,7 @@ def contexts(classes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ctx, target, at
 
 
-def _chunks(blobs: list[bytes], size: int = 1 << 17) -> Iterator[tuple[int, int]]:
+def _chunks(blobs: list[bytes], size: int = 1 << 18) -> Iterator[tuple[int, int]]:
     i, n = 0, 0
     for k, b in enumerate(blobs):
         if k > i and n + len(b) > size:
@@ -239,38 +254,55 @@ def _chunks(blobs: list[bytes], size: int = 1 << 17) -> Iterator[tuple[int, int]
 
 
 def _average(key: tuple, t: pa.Table) -> pa.Table:
+    t = t.sort_by("shard")
     w = t.column("n").to_numpy().astype(np.float64)
-    v = np.stack([np.frombuffer(x.as_py(), np.float32) for x in t.column("v")])
-    return pa.table({"n": [int(w.sum())], "v": pa.array([((w[:, None] * v).sum(0) / w.sum()).astype(np.float32).tobytes()], pa.binary())})
+    total = np.zeros(len(t.column("v")[0].as_py()) // 4)
+    for x, v in zip(w, t.column("v"), strict=True):
+        total += x * np.frombuffer(v.as_py(), np.float32)
+    return pa.table({"g": [key[0].as_py()], "n": [int(w.sum())], "v": pa.array([(total / w.sum()).astype(np.float32).tobytes()], pa.binary())})
 
 
-def fit(coded: DataFrame, share: np.ndarray) -> np.ndarray:
-    """The parameters, from all training texts of coded (held_out, classes)."""
+def fit(coded: DataFrame, share: np.ndarray, tokens: int) -> np.ndarray:
+    """The parameters, from all training texts of coded (id, held_out, classes), of so many tokens."""
     spark = coded.sparkSession
     vector = LogBilinear.start(share).vector
+    count = tokens // SHARD + 1
+    shard = F.pmod(F.xxhash64("id"), F.lit(count)).cast("long").alias("shard")
+    dealt = coded.where("not held_out").select(shard, "id", "classes").repartition(int(count), "shard")
+    dealt = materialize(dealt.sortWithinPartitions("shard", "id", "classes"))
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((vector, share))
 
         def run(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
             start, share = shared.value
-            task = TaskContext.get().partitionId()
-            model, state, n = LogBilinear(start.copy()), np.zeros(LogBilinear.SIZE, np.float32) + np.float32(1e-6), 0
-            rng = np.random.default_rng([SEED, turn, task])
-            for batch in batches:
-                blobs = batch.column(0).to_pylist()
+
+            def learn(shard: int, blobs: list[bytes]) -> pa.RecordBatch:
+                model, n = LogBilinear(len(share), start.copy()), 0
+                state = np.zeros(len(start), np.float32) + np.float32(1e-6)
+                rng = np.random.default_rng([SEED, turn, shard])
                 for i, j in _chunks(blobs):
-                    ctx, target, _ = contexts(blobs[i:j])
+                    ctx, target, _ = contexts(blobs[i:j], len(share))
                     order = rng.permutation(len(target))
                     model.train(ctx[:, order], target[order], share, state, rng)
                     n += len(target)
-            if n:
-                yield pa.record_batch([pa.array([task % GROUPS]), pa.array([n]), pa.array([model.vector.tobytes()], pa.binary())], names=["g", "n", "v"])
+                return pa.record_batch([pa.array([shard]), pa.array([shard % GROUPS]), pa.array([n]), pa.array([model.vector.tobytes()], pa.binary())], names=["shard", "g", "n", "v"])
 
-        each = coded.where("not held_out").select("classes").mapInArrow(run, "g long, n long, v binary")
-        rows = each.groupBy("g").applyInArrow(_average, "n long, v binary").collect()  # at most GROUPS vectors
+            now, blobs = -1, []  # a shard is whole in one file, its rows in order
+            for batch in batches:
+                for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if k != now and blobs:
+                        yield learn(now, blobs)
+                        blobs = []
+                    now = k
+                    blobs.append(blob)
+            if blobs:
+                yield learn(now, blobs)
+
+        each = dealt.select("shard", "classes").mapInArrow(run, "shard long, g long, n long, v binary")
+        rows = each.groupBy("g").applyInArrow(_average, "g long, n long, v binary").collect()  # at most GROUPS vectors
         if rows:
-            w = np.array([r["n"] for r in rows], np.float64)
-            vector = (sum(r["n"] * np.frombuffer(r["v"], np.float32).astype(np.float64) for r in rows) / w.sum()).astype(np.float32)
+            rows.sort(key=lambda r: r["g"])
+            vector = (sum(r["n"] * np.frombuffer(r["v"], np.float32).astype(np.float64) for r in rows) / sum(r["n"] for r in rows)).astype(np.float32)
     return vector
 
 
@@ -279,29 +311,32 @@ def lm_score(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
 
     Rows whose id hash modulo 5 is 1 are held out and never learnt from. A null text is an empty one,
     which has the end as its only token. Without training texts all counts are 0 and the class shares
-    are even. An empty table gives no rows."""
+    are even. Texts are read and scored whole, however long. Scores depend on the rows alone, not on
+    files or partitions; repeated rows are learnt from each time and score alike. An empty table gives no rows."""
     src = df.select(F.col(id_col).cast("long").alias("id"), (id_bucket(id_col) == 1).alias("held_out"), F.col(text).alias("text"))
     blocks = materialize(src.mapInArrow(_blocks, "block long, id long, held_out boolean, tokens binary, words binary, train binary, shape binary"))
     entries = blocks.where("words is not null").select("block", "words", "train", "shape").mapInArrow(_entries, "word long, block long, lid int, train long, shape short")
-    size = blocks.where("words is not null").agg(F.sum(F.octet_length("shape"))).first()[0] or 0
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // 4_000_000 + 1)
+    size, count = blocks.where("words is not null").agg(F.sum(F.octet_length("shape")), F.count(F.lit(1))).first()
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(least, (size or 0) // 4_000_000 + 1)
     counted = materialize(entries.repartition(n, "word").mapInArrow(_counts, "block long, lid int, c long, shape short, first boolean, word long"))
     texts = blocks.where("tokens is not null")
     ends = texts.where("not held_out").count()
     words = counted.where("first")
-    top = words.where("word is not null and c > 0").orderBy(F.desc("c"), "word").limit(TOP).select("word", "c", "shape").collect()
     by_shape = {r["shape"]: (r["n"], r["v"]) for r in words.groupBy("shape").agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).collect()}
     total = sum(x for x, _ in by_shape.values()) + ends
     kinds = sum(v for _, v in by_shape.values()) + (ends > 0)
     mass, types = np.zeros(SHAPES), np.zeros(SHAPES)
     for s, (x, v) in by_shape.items():
         mass[s], types[s] = x, v
+    most = top_words(total)
+    top = words.where("word is not null and c > 0").orderBy(F.desc("c"), "word").limit(most).select("word", "c", "shape").collect()
     own = {}
     for k, r in enumerate(top):
         own[r["word"]] = k
         mass[r["shape"]] -= r["c"]
         types[r["shape"]] -= 1
-    weight = np.concatenate([[r["c"] for r in top], np.zeros(TOP - len(top)), mass, [ends]]) + 0.5
+    weight = np.concatenate([[r["c"] for r in top], np.zeros(most - len(top)), mass, [ends]]) + 0.5
     share = weight / weight.sum()
     floor = total + 0.5 * (kinds + 1)
     shared = df.sparkSession.sparkContext.broadcast((own, mass, types))
@@ -312,8 +347,8 @@ def lm_score(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
         lid = d.column("lid").to_numpy()
         c, shape = np.zeros(size), np.zeros(size, np.int64)
         c[lid], shape[lid] = d.column("c").to_numpy(), d.column("shape").to_numpy()
-        cls = TOP + shape
-        within = np.log10((c + 0.5) / (mass[shape] + 0.5 * (types[shape] + 1)))
+        cls = most + shape
+        within = np.log10(share_in_class(c, mass[shape], types[shape]))
         for i, w in zip(lid.tolist(), d.column("word").to_pylist(), strict=True):
             if w in own:
                 cls[i], within[i] = own[w], 0.0
@@ -321,21 +356,24 @@ def lm_score(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
         out: list[tuple] = []
         for raw in t.column("tokens"):
             x = np.frombuffer(raw.as_py(), "<u4")
-            out.append((len(x) + 1, int(known[x].sum()) + (ends > 0), float(base[x].sum() + np.log10((ends + 0.5) / floor)), float(within[x].sum()), cls[x].astype(np.uint8).tobytes()))
+            out.append((len(x) + 1, int(known[x].sum()) + (ends > 0), float(base[x].sum() + np.log10((ends + 0.5) / floor)), float(within[x].sum()), cls[x].astype("<u2").tobytes()))
         cols = list(zip(*out, strict=True)) or [[]] * 5
         types_ = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
         return pa.table([t.column("id"), t.column("held_out"), *[pa.array(v, k) for v, k in zip(cols, types_, strict=True)]], names=["id", "held_out", "n_tokens", "n_known", "base_score", "within", "classes"])
 
-    both = texts.select("block", "id", "held_out", "tokens").groupBy("block").cogroup(counted.select("block", "lid", "c", "shape", "word").groupBy("block"))
+    # a few blocks a task at most, whatever the engine would put together
+    tasks = max(least, 2 * count)
+    one = texts.select("block", "id", "held_out", "tokens").repartition(tasks, "block").groupBy("block")
+    both = one.cogroup(counted.select("block", "lid", "c", "shape", "word").repartition(tasks, "block").groupBy("block"))
     coded = materialize(both.applyInArrow(code, "id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary"))
-    model = df.sparkSession.sparkContext.broadcast(fit(coded, share))
+    model = df.sparkSession.sparkContext.broadcast((len(share), fit(coded, share, int(total))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = LogBilinear(model.value)
+        m = LogBilinear(*model.value)
         for batch in batches:
             blobs, out = batch.column(6).to_pylist(), []
             for i, j in _chunks(blobs):
-                ctx, target, at = contexts(blobs[i:j])
+                ctx, target, at = contexts(blobs[i:j], m.n)
                 out.append(np.add.reduceat(m.log10(ctx, target), at[:-1]))
             p = np.concatenate(out) if out else np.zeros(0)
             yield pa.record_batch([*batch.columns[:5], pa.array(p + batch.column(5).to_numpy(zero_copy_only=False))], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])

@@ -47,13 +47,50 @@ def test_edges(spark):
 
 
 def test_class_probabilities_are_normalised():
-    m = lm.LogBilinear.start(np.full(lm.CLASSES, 1 / lm.CLASSES))
-    ctx = np.array([[0, 5, lm.CLASSES]] * lm.CLASSES).T
-    assert abs((10.0 ** m.log10(ctx, np.arange(lm.CLASSES))).sum() - 1) < 1e-5
+    n = 40
+    m = lm.LogBilinear.start(np.full(n, 1 / n))
+    ctx = np.array([[0, 5, n]] * n).T
+    assert abs((10.0 ** m.log10(ctx, np.arange(n))).sum() - 1) < 1e-5
+
+
+def test_probabilities_of_all_words_are_normalised():
+    """Over all known words, and the unknown ones of each class, a token's probabilities add up to 1 in any context."""
+    rng = np.random.default_rng(3)
+    own, counts = 5, {s: rng.integers(1, 9, rng.integers(1, 30)) for s in range(7)}
+    n = own + len(counts) + 1
+    m = lm.LogBilinear.start(rng.dirichlet(np.ones(n)))
+    m.vector += rng.normal(0, 0.3, len(m.vector)).astype(np.float32)
+    for ctx in ([n, n, n], [0, n, n], [n - 2, 3, 1]):
+        p = 10.0 ** m.log10(np.array([ctx] * n).T, np.arange(n))
+        total = p[:own].sum() + p[-1]
+        for s, c in counts.items():
+            for x in [*c, 0]:
+                total += p[own + s] * lm.share_in_class(x, c.sum(), len(c))
+        assert abs(total - 1) < 1e-5
 
 
 def test_contexts_stay_inside_their_text():
-    ctx, target, at = lm.contexts([b"\x01\x02", b"", b"\x03"])
-    assert target.tolist() == [1, 2, lm.END, lm.END, 3, lm.END] and at.tolist() == [0, 3, 4, 6]
-    n = lm.CLASSES
-    assert ctx.tolist() == [[n, 1, 2, n, n, 3], [n, n, 1, n, n, n], [n] * 6]
+    n = 300
+    blob = lambda *x: np.array(x, "<u2").tobytes()
+    ctx, target, at = lm.contexts([blob(1, 280), b"", blob(3)], n)
+    assert target.tolist() == [1, 280, n - 1, n - 1, 3, n - 1] and at.tolist() == [0, 3, 4, 6]
+    assert ctx.tolist() == [[n, 1, 280, n, n, 3], [n, n, 1, n, n, n], [n] * 6]
+
+
+def test_own_classes_grow_with_the_corpus():
+    assert lm.top_words(1000) == lm.TOP < lm.top_words(10**8) < lm.top_words(10**13) < 2**15
+
+
+def test_scores_do_not_depend_on_the_layout(spark, sf, monkeypatch):
+    """Files, partitions and the order of rows: equal scores, with several shards; a repeated row scores as the first."""
+    monkeypatch.setattr(lm, "SHARD", 9000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.limit(3))
+    some = [sorted((r.doc_id, r.base_score, r.score) for r in lm.lm_score(d).collect()) for d in (docs.coalesce(1), docs.repartition(7).sortWithinPartitions("text"))]
+    assert all(abs(a - b) < 1e-6 * abs(b) for x, y in zip(*some, strict=True) for a, b in zip(x[1:], y[1:], strict=True))
+    assert len({r[0] for r in some[0]}) == len({(r[0], round(r[2], 6)) for r in some[0]})
+
+
+def test_a_very_long_text_among_short_ones(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 4000)
+    check(spark, [(1, "word other " * 30_000), (2, "word"), (3, "other word word"), (4, "x" * 100_000), (5, None), (6, "word other"), (7, "a b c")])

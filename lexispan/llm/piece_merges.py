@@ -16,16 +16,19 @@ import heapq
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import materialize, small_batches
+from .common import materialize, mix, small_batches
 from .sentencepiece import CHUNK, LITERAL, MODEL, SPACE, Model, parts, spelled
 
-#: Words whose ids a worker keeps, characters of the texts it splits together, longest word it keeps.
-MEMO, TOGETHER, LONG = 100_000, 1_000_000, 64
+#: Words whose ids a worker keeps in each of two generations, characters of the texts it splits together, longest word it keeps.
+MEMO, TOGETHER, LONG = 100_000, 500_000, 40
+#: No piece has these two symbols.
+NO_PAIR = -1
 
 
 class Merges(Model):
@@ -36,6 +39,97 @@ class Merges(Model):
         self.rank = {p: self.score[i] for p, i in self.ids.items()}
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self._symbols()
+
+    def _symbols(self) -> None:
+        """Pieces and their characters as numbers from 1; pairs that merge, found by open addressing."""
+        names = list(dict.fromkeys([*self.ids, *(c for p in self.ids for c in p)]))
+        number = {x: i for i, x in enumerate(names, 1)}
+        self.char = {ord(x): i for x, i in number.items() if len(x) == 1}
+        self.names = ["", *names]
+        self.piece_of = np.array([-1, *(self.ids.get(x, -1) for x in names)], np.int32)
+        pairs = {number[p[:k]] << 21 | number[p[k:]]: p for p in self.ids for k in range(1, len(p)) if p[:k] in number and p[k:] in number}
+        key = np.fromiter(pairs, np.int64, len(pairs))
+        self.pair_mask = (1 << (4 * len(key)).bit_length()) - 1
+        self.pair_key = np.full(self.pair_mask + 1, -1, np.int64)
+        self.pair_rank = np.full(self.pair_mask + 1, NO_PAIR, np.int32)
+        self.pair_to = np.zeros(self.pair_mask + 1, np.int32)
+        _, rank = np.unique(np.array([self.rank[p] for p in pairs.values()], np.int64), return_inverse=True)
+        to = np.array([number[p] for p in pairs.values()], np.int32)
+        at, todo = mix(key.astype(np.uint64)).astype(np.int64) & self.pair_mask, np.arange(len(key))
+        while len(todo):  # each round places one key per free slot
+            free = todo[self.pair_key[at[todo]] == -1]
+            slot, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.pair_key[slot], self.pair_rank[slot], self.pair_to[slot] = key[put], rank[put], to[put]
+            todo = todo[self.pair_key[at[todo]] != key[todo]]
+            at[todo] = (at[todo] + 1) & self.pair_mask
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and symbol of each pair of symbols; NO_PAIR for none."""
+        key = left.astype(np.int64) << 21 | right
+        at = mix(key.astype(np.uint64)).astype(np.int64) & self.pair_mask
+        got = self.pair_key[at]
+        live = np.flatnonzero((got != key) & (got != -1))
+        while len(live):
+            at[live] = (at[live] + 1) & self.pair_mask
+            got[live] = self.pair_key[at[live]]
+            live = live[(got[live] != key[live]) & (got[live] != -1)]
+        return np.where(got == key, self.pair_rank[at], np.int32(NO_PAIR)), self.pair_to[at]
+
+    def merge_all(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words, those of one length together: each step merges the best pair of every word."""
+        out: dict[str, bytes] = {}
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            by_length.setdefault(len(w), []).append(w)
+        for n, group in by_length.items():
+            if n == 1 or n > LONG or len(group) < 16:
+                out |= {w: self.merge(w) for w in group}
+            else:
+                self._merge_group(n, group, out)
+        return out
+
+    def _merge_group(self, n: int, group: list[str], out: dict[str, bytes]) -> None:
+        chars, code = np.unique(np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)
+        most = len(self.names)  # other characters have numbers from here, which no pair has
+        sym = np.array([self.char.get(int(c), most + i) for i, c in enumerate(chars)], np.int32)[code].reshape(-1, n)
+        rank, to = self._pairs(sym[:, :-1].ravel(), sym[:, 1:].ravel())
+        rank, to = rank.reshape(-1, n - 1), to.reshape(-1, n - 1)
+        where, place = np.arange(len(group)), np.arange(n)
+        while len(where):
+            row = np.arange(len(where))
+            k = rank.argmax(1)  # of equal ones the leftmost
+            done = rank[row, k] == NO_PAIR
+            if done.any():
+                self._finish(sym[done], group, where[done], chars, out)
+                live = np.flatnonzero(~done)
+                if not len(live):
+                    return
+                sym, rank, to, where, k, row = sym[live], rank[live], to[live], where[live], k[live], row[: len(live)]
+            n -= 1  # every word that goes on has as many symbols
+            sym[row, k] = to[row, k]
+            after = place[:n] + (place[:n] > k[:, None])
+            sym = np.take_along_axis(sym, after, 1)
+            if n == 1:
+                self._finish(sym, group, where, chars, out)
+                return
+            after = np.minimum(after[:, : n - 1], n - 1)
+            rank, to = np.take_along_axis(rank, after, 1), np.take_along_axis(to, after, 1)
+            for at, ok in ((k - 1, k > 0), (k, k < n - 1)):
+                x = np.flatnonzero(ok)
+                rank[x, at[x]], to[x, at[x]] = self._pairs(sym[x, at[x]], sym[x, at[x] + 1])
+
+    def _finish(self, sym: np.ndarray, group: list[str], where: np.ndarray, chars: np.ndarray, out: dict[str, bytes]) -> None:
+        """The ids of words that have merged to these symbols."""
+        most, n = len(self.names), sym.shape[1]
+        ids = np.where(sym < most, self.piece_of[np.minimum(sym, most - 1)], -1).astype("<i4")
+        raw, odd = ids.tobytes(), (ids < 0).any(1)
+        for i, w in enumerate(where.tolist()):
+            out[group[w]] = raw[4 * n * i : 4 * n * (i + 1)]
+        for i in np.flatnonzero(odd).tolist():
+            out[group[where[i]]] = self._ids([self.names[x] if x < most else chr(chars[x - most]) for x in sym[i].tolist()])
 
     def merge(self, w: str) -> bytes:
         """The ids of a word: a short one by looking at all pairs each time, a long one by a heap."""
@@ -87,21 +181,29 @@ class Merges(Model):
                 out.append(i)
         return struct.pack(f"<{len(out)}i", *out)
 
-    def merged(self, s: str) -> Iterator[bytes]:
-        """The ids of the words of a spelled text or part."""
-        known = self.known
-        for w in self.split(s):
-            got = known.get(w)
+    def merged(self, spelled_: list[str]) -> list[bytes]:
+        """The ids of spelled texts or parts.
+
+        A full memo becomes the older one, which is dropped by the next: words in use move on."""
+        split = [self.split(s) for s in spelled_]
+        table: dict[str, bytes] = {}
+        new: list[str] = []
+        for w in set().union(*split):
+            got = self.known.get(w) or self.older.get(w)
             if got is None:
-                got = self.merge(w)
-                if len(w) <= LONG:
-                    if len(known) >= MEMO:
-                        known.clear()
-                    known[w] = got
-            yield got
+                new.append(w)
+            else:
+                table[w] = got
+        table |= self.merge_all(new)
+        for w, got in table.items():
+            if len(w) <= LONG and w not in self.known:
+                if len(self.known) >= MEMO:
+                    self.known, self.older = {}, self.known
+                self.known[w] = got
+        return [b"".join(map(table.__getitem__, words)) for words in split]
 
-    def encode_merged(self, text: str) -> bytes:
-        return b"".join(self.merged(spelled(text)))
+    def encode_merged(self, texts: list[str]) -> list[bytes]:
+        return [ids for i, j in parts([len(t) for t in texts], TOGETHER) for ids in self.merged([spelled(t) for t in texts[i:j]])]
 
     def chunks(self, s: str, chunk: int) -> Iterator[str]:
         """Parts of chunk code points or more, ending where no merge crosses."""
@@ -137,11 +239,8 @@ def encode_merges(df: DataFrame, text: str = "text", path: str = MODEL, chunk: i
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _merges(path)
         for batch in batches:
-            size = [len(t or "") for t in batch.column(at).to_pylist()]
-            for i, j in parts(size, TOGETHER):
-                some = batch.slice(i, j - i)
-                ids = [model.encode_merged(t or "") for t in some.column(at).to_pylist()]
-                yield pa.record_batch([*some.columns, pa.array(ids, pa.binary())], names=[*own, "ids"])
+            ids = model.encode_merged([t or "" for t in batch.column(at).to_pylist()])
+            yield pa.record_batch([*batch.columns, pa.array(ids, pa.binary())], names=[*own, "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _merges(path)
@@ -153,7 +252,7 @@ def encode_merges(df: DataFrame, text: str = "text", path: str = MODEL, chunk: i
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _merges(path)
         for batch in batches:
-            ids = [b"".join(model.merged(raw.as_py().decode("utf-8", "surrogatepass"))) for raw in batch.column(2)]
+            ids = [model.merged([raw.as_py().decode("utf-8", "surrogatepass")])[0] for raw in batch.column(2)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["uid", "chunk", "ids"])
 
     giant = F.coalesce(F.char_length(text), F.lit(0)) >= chunk

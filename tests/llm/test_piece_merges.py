@@ -21,7 +21,7 @@ def library():
 
 def test_ids_are_the_librarys(sf, library):
     for t in [*ODD, *pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist()]:
-        ids = M.encode_merged(t or "")
+        ids = M.encode_merged([t or ""])[0]
         assert numbers(ids) == library.encode(t or "") and M.decode(ids).decode() == (t or "")
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ NEVER = -(1 << 60)
 #: A character without a piece costs this, beyond its bytes.
 UNKNOWN = -(1 << 24)
 #: Words whose ids a worker keeps, characters of the texts it encodes together, longest word of a table.
-MEMO, TOGETHER, LONG = 300_000, 4_000_000, 40
+MEMO, TOGETHER, LONG = 200_000, 500_000, 40
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -90,15 +91,17 @@ class Model:
         unit = 1 if all(x == round(x) for x in score) else 1 << 16
         self.score = [round(x * unit) for x in score]
         self.longest = max(map(len, self.ids))
-        #: Every piece as (score, id), and every beginning of one as None.
-        self.table: dict[str, tuple[int, int] | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))}
-        self.table |= {p: (self.score[i], i) for p, i in self.ids.items()}
-        self._trie()
         # between a piece that ends without the space mark and one that starts with it no piece reaches, unless a piece says so
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.memo: dict[str, bytes] = {}
         self.seen = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
+    @cached_property
+    def table(self) -> dict[str, tuple[int, int] | None]:
+        """Every piece as (score, id), and every beginning of one as None."""
+        beginnings = {p[:k]: None for p in self.ids for k in range(1, len(p))}
+        return beginnings | {p: (self.score[i], i) for p, i in self.ids.items()}
+
     @classmethod
     def load(cls, path: str = MODEL) -> Model:
         with open(path, "rb") as f:
@@ -181,24 +184,31 @@ class Model:
             live = live[~hit & (got != -1)]
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Puts the ids of all these words into the memo, those of one length at a time."""
-        new = words - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = words
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of all these words, those of one length at a time; the memo keeps MEMO of them at most."""
+        out = {w: got for w in words if (got := self.memo.get(w)) is not None}
         by_length: dict[int, list[str]] = {}
-        for w in new:
-            by_length.setdefault(len(w), []).append(w)
+        for w in words:
+            if w not in out:
+                by_length.setdefault(len(w), []).append(w)
         for n, group in by_length.items():
             if n > LONG or len(group) < 16:
                 for w in group:
-                    self.memo[w] = self.pieces(w, self.forward(w, n, {0: 0})[1], n)
+                    out[w] = self.pieces(w, self.forward(w, n, {0: 0})[1], n)
             else:
-                self._learn(n, group)
+                self._learn(n, group, out)
+        for group in by_length.values():
+            for w in group:
+                if len(w) <= LONG:
+                    if len(self.memo) >= MEMO:
+                        self.memo.clear()
+                    self.memo[w] = out[w]
+        return out
 
-    def _learn(self, n: int, group: list[str]) -> None:
+    def _learn(self, n: int, group: list[str], known: dict[str, bytes]) -> None:
         """The forward pass and the trace back of words of n characters, as in `forward` and `pieces`."""
+        if "keys" not in self.__dict__:
+            self._trie()
         chars = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n).astype(np.int64).T.copy()
         size = len(group)
         best = np.full((n + 1, size), NEVER, np.int64)
@@ -236,9 +246,9 @@ class Model:
             live = live[at[live] > 0]
         raw = out.tobytes()
         for r, (w, k) in enumerate(zip(group, used.tolist(), strict=True)):
-            self.memo[w] = raw[4 * ((r + 1) * n - k) : 4 * (r + 1) * n]
+            known[w] = raw[4 * ((r + 1) * n - k) : 4 * (r + 1) * n]
         for r in np.flatnonzero(odd).tolist():
-            self.memo[group[r]] = self.pieces(group[r], self.forward(group[r], n, {0: 0})[1], n)
+            known[group[r]] = self.pieces(group[r], self.forward(group[r], n, {0: 0})[1], n)
 
     def split(self, s: str) -> list[str]:
         return self.seen.findall(s) if self.cuts else [s]
@@ -253,8 +263,8 @@ class Model:
         first = self.pieces(s[:head], self.forward(s[:head], head, {entry: 0})[1], head)
         last = self.pieces(s[tail:], self.forward(s[tail:], n - tail, {0: 0})[1], n - tail + leave)
         words = self.split(s[head:tail])
-        self.learn(set(words))
-        return b"".join([first, *map(self.memo.__getitem__, words), last])
+        known = self.learn(set(words))
+        return b"".join([first, *map(known.__getitem__, words), last])
 
     def _cut(self, s: str, i: int, n: int) -> int | None:
         """The first place from i on, before n, that no piece crosses."""
@@ -310,8 +320,7 @@ class Model:
         out: list[bytes] = []
         for i, j in parts([len(t) for t in texts], TOGETHER):
             split = [self.split(spelled(t)) for t in texts[i:j]]
-            self.learn(set().union(*split))
-            get = self.memo.__getitem__
+            get = self.learn(set().union(*split)).__getitem__
             out += [b"".join(map(get, words)) for words in split]
         return out
 

@@ -14,7 +14,7 @@ from .operators import matching
 from .plans import render
 from .plans.lowering import compile_query
 from .sources.tables import read
-from .sql import ql_parse, search_sql
+from .sql import classify, ql_parse, search_sql, snippet
 from .streaming.filters import search_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -284,6 +284,7 @@ def _pairs(f: Callable[[str], str | None], queries) -> Query:
     return lambda spark, sf: spark.createDataFrame([(q, f(q)) for q in queries], "query string, result string")
 
 
+_CLASSES = {"beer OR ale": "supported", "beer AND": "parse", "* THEN/2 beer": "lowering"}
 _THIS = where(is_("this"))
 _PART = f"WITH {tokens('part', 'p_partkey', 'p_name')}"
 OTHERS: dict[str, tuple[Query, str | None]] = {
@@ -348,6 +349,27 @@ OTHERS: dict[str, tuple[Query, str | None]] = {
         lambda s, d: (table(s, d, "part").createOrReplaceTempView("part_to_search"), search_sql(s, "SELECT p_partkey FROM part_to_search WHERE p_name ==> 'small AND ring'"))[1],
         r"SELECT p_partkey FROM part WHERE regexp_matches(p_name, '(?i)\bsmall\b') AND regexp_matches(p_name, '(?i)\bring\b')",
     ),
+    "search_sql_any": (
+        lambda s, d: (table(s, d, "part").createOrReplaceTempView("part_to_search"), search_sql(s, "SELECT p_partkey FROM part_to_search WHERE lower(concat(p_name, '')) ==> ANY (array('ring', 'small', NULL))"))[1],
+        r"SELECT p_partkey FROM part WHERE regexp_matches(p_name, '(?i)\b(small|ring)\b')",
+    ),
+    "search_sql_all": (
+        lambda s, d: (table(s, d, "part").createOrReplaceTempView("part_to_search"), search_sql(s, "SELECT p_partkey FROM part_to_search WHERE p_name ==> ALL (array('ring', 'small'))"))[1],
+        r"SELECT p_partkey FROM part WHERE regexp_matches(p_name, '(?i)\bsmall\b') AND regexp_matches(p_name, '(?i)\bring\b')",
+    ),
+    "search_sql_scores": (
+        lambda s, d: search_sql(s, "SELECT doc_id, round(cast(full_score AS double), 4) AS score FROM search_scores('documents_text', 'from OR worthless')", indexes=[documents(s, d)]),
+        _FULL,
+    ),
+    "search_sql_max_score": (
+        lambda s, d: search_sql(s, "SELECT round(cast(max_score('documents_text', 'from OR worthless') AS double), 4) AS max_score", indexes=[documents(s, d)]),
+        f"SELECT max(score) AS max_score FROM ({_FULL})",
+    ),
+    "snippets": (
+        lambda s, d: s.createDataFrame([(k, snippet("The quick brown fox jumps", 1, 2, k)) for k in (0, 1, 9)], "context int, snippet string"),
+        "SELECT * FROM (VALUES (0::INT, 'quick brown'), (1, 'the quick brown fox'), (9, 'the quick brown fox jumps')) t(context, snippet)",
+    ),
+    "classify_queries": (_pairs(classify, _CLASSES), _values(_CLASSES)),
     "stream_match": (
         stream_match,
         f"SELECT conv_id, turn FROM conversations WHERE list_has_any(list_transform(regexp_extract_all(text, '{_RE}'), lambda x: lower(strip_accents(x))), ['the', 'please'])",

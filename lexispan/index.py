@@ -128,6 +128,10 @@ class Search:
         """Matching rows with their score, by all terms (full) or without those in dense_ratio of all documents."""
         return self.rows().withColumn("score", self.score_column(**how)).drop("_terms")
 
+    def scores(self) -> DataFrame:
+        """Matching rows with score (without dense terms) and full_score."""
+        return self.rows().withColumn("score", self.score_column()).withColumn("full_score", self.score_column(full=True)).drop("_terms")
+
     def topk(self, k: int, **how) -> DataFrame:
         return self.score(**how).orderBy(F.desc("score"), self.index.key).limit(k)
 

@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +127,40 @@ def test_sql(spark):
     assert tuple(row) == (True, "x", '"a b"', ["a", "b"], "a [b]", "a b")
 
 
+def test_sql_operands_and_arrays(spark):
+    assert rewrite("SELECT 1 FROM t WHERE lower(trim(x)) ==> concat('a', f(y)) AND z==>ANY(array('p', q)) OR (a.b) ==> ALL (c)") == (
+        "SELECT 1 FROM t WHERE search_match(lower(trim(x)), concat('a', f(y))) AND search_match_any(z, array('p', q)) OR search_match_all((a.b), c)"
+    )
+    with pytest.raises(ValueError):
+        rewrite("==> 'x'")
+    register(spark)
+    row = spark.sql("SELECT search_match_any('a b', array('a', NULL)) a, search_match_any('a b', array('c', NULL)) b, search_match_all('a b', array('c', NULL)) c, search_match_all('a b', array('a', NULL)) d, search_match_any('a b', array()) e, search_match_all('a', CAST(NULL AS array<string>)) f").first()
+    assert tuple(row) == (True, None, False, None, False, None)
+
+
+def test_sql_scores(spark):
+    from lexispan.sql import search_sql
+
+    ix = index(spark, ["rare", "rare rare rare", "common", "common", "common"])
+    rows = search_sql(spark, "SELECT id, full_score FROM search_scores('ix', 'rare') WHERE full_score = max_score('ix', 'rare')", indexes=[ix]).collect()
+    assert [r.id for r in rows] == [2]
+    assert [r.term for r in search_sql(spark, "SELECT term FROM score_inspect('ix', 'rare OR common')", indexes=[ix]).collect()] == []
+    with pytest.raises(BindingError):
+        search_sql(spark, "SELECT * FROM search_scores('other', 'x')", indexes=[ix])
+
+
+def test_ansi_colours():
+    from lexispan.operators.highlighting import color, highlight_ansi
+    from lexispan.plans.lowering import compile_query
+
+    mark = lambda text, q: highlight_ansi(text, compile_query(q))
+    assert mark("a red b", "red") == "a \x1b[1;31mred\x1b[0m b" and mark("grey", "grey") == "\x1b[1;90mgrey\x1b[0m"
+    assert color(["yellow"], True) == "30;43" and color(["purple"], True) == "97;45"
+    assert color(["dark red"], False) in ("1;31", "1;32", "1;33", "1;34", "1;35", "1;36", "1;91", "1;94")
+    out = mark("beer\r\nfestival", '"beer festival"')
+    assert re.fullmatch("(\x1b\\[[\\d;]+m)beer\x1b\\[0m\r\n\\1festival\x1b\\[0m", out)
+
+
 def test_materialized(spark, tmp_path):
     ix = index(spark, ["craft beer", "wine"]).materialize(str(tmp_path / "ix"))
     assert ids(ix.search("beer").rows()) == [1]

@@ -17,7 +17,8 @@ gives the class's probability. So every token, known or not, has a normalised lo
    the ids, so that the model does not depend on files or partitions. Each shard trains from the same
    start; the parameters are averaged by their tokens (in groups first, so that the driver gets a bounded
    number of vectors), twice.
-5. Batches of class numbers are scored by matrix products.
+5. Batches of class numbers are scored by matrix products, each distinct context of a batch once: what grows
+   with the classes is the cost of a context, not of a token.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from .common import LOWER, hash_spans, id_bucket, materialize, slices, spans, ut
 BLOCK_BYTES = 12 << 20
 SHAPES = 60
 #: Words with a class of their own up to so many training tokens, and how many more for each doubling: what a
-#: token costs is in proportion to the classes, so they grow with the logarithm of the corpus.
+#: context costs is in proportion to the classes, so they grow with the logarithm of the corpus.
 TOP, TOP_TOKENS, TOP_MORE = 192, 4_000_000, 64
 CONTEXT, DIM = 3, 24
 SHARD = 4_000_000
@@ -45,8 +46,10 @@ BATCH, NOISE, RATE, ROUNDS = 2048, 64, 0.08, 2
 #: Words whose count is this share of a partition's keep their hash, as candidates for a class of their own.
 HEAVY = 20_000
 GROUPS = 256
-#: Tokens whose scores over all classes are held at once, as many as stay in a core's cache.
+#: Contexts whose scores over all classes are held at once, as many as stay in a core's cache.
 SCORED = 1024
+#: Tokens of which equal contexts are normalised once: about a third are distinct. And tokens picked at once.
+DISTINCT, PICKED = 1 << 20, 8192
 SEED = 7
 
 
@@ -164,24 +167,41 @@ class LogBilinear:
         """What each context class adds at each place: its vector times the place's matrix, once per class."""
         return np.matmul(self.inp[None], self.mat)
 
-    def log10(self, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Normalised log-probabilities; ctx has a row per place."""
-        each = self.projected()
-        top = np.concatenate([self.out, self.bias[:, None]], 1).T.copy()  # the bias is one more factor
-        out = np.empty(len(target), np.float64)
-        for a in range(0, len(target), SCORED):
-            t = target[a : a + SCORED]
-            h = np.ones((len(t), DIM + 1), np.float32)
-            h[:, :DIM] = each[0].take(ctx[0, a : a + SCORED], 0)
-            for j in range(1, CONTEXT):
-                h[:, :DIM] += each[j].take(ctx[j, a : a + SCORED], 0)
-            s = h @ top
+    def log_sums(self, h: np.ndarray, top: np.ndarray) -> np.ndarray:
+        """The log of the sum of the exponentials over all classes, for each row of h (context vectors with a 1)."""
+        out = np.empty(len(h), np.float32)
+        for a in range(0, len(h), SCORED):
+            s = h[a : a + SCORED] @ top
             most = s.max()
             if most > 60:  # else single precision holds the sum of the exponentials
                 s -= most
-            picked = s[np.arange(len(t)), t]
             np.exp(s, out=s)
-            out[a : a + SCORED] = picked - np.log(np.maximum(s.sum(1), np.float32(1e-37)))
+            out[a : a + SCORED] = np.log(np.maximum(s.sum(1), np.float32(1e-37)))
+            if most > 60:
+                out[a : a + SCORED] += most
+        return out
+
+    def log10(self, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Normalised log-probabilities; ctx has a row per place. Equal contexts are normalised once."""
+        each = self.projected()
+        top = np.concatenate([self.out, self.bias[:, None]], 1)  # the bias is one more factor
+        out = np.empty(len(target), np.float64)
+        for a in range(0, len(target), DISTINCT):
+            t = target[a : a + DISTINCT]
+            key = ctx[0, a : a + DISTINCT].astype(np.int64)
+            for j in range(1, CONTEXT):
+                key *= self.n + 1
+                key += ctx[j, a : a + DISTINCT]
+            codes, keys = pd.factorize(key)
+            h = np.ones((len(keys), DIM + 1), np.float32)
+            h[:, :DIM] = 0
+            for j in reversed(range(CONTEXT)):
+                keys, c = np.divmod(keys, self.n + 1)
+                h[:, :DIM] += each[j].take(c, 0)
+            norm = self.log_sums(h, top.T.copy())
+            for b in range(0, len(t), PICKED):
+                k = codes[b : b + PICKED]
+                out[a + b : a + b + len(k)] = np.einsum("ij,ij->i", h.take(k, 0), top.take(t[b : b + PICKED], 0)) - norm.take(k)
         return out / np.log(10)
 
     def train(self, ctx: np.ndarray, target: np.ndarray, share: np.ndarray, state: np.ndarray, rng: np.random.Generator) -> None:
@@ -220,10 +240,8 @@ class LogBilinear:
 
 
 def _add(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    order = np.argsort(rows, kind="stable")
-    r = rows[order]
-    cut = np.concatenate([[0], np.flatnonzero(r[1:] != r[:-1]) + 1])
-    to[r[cut]] += np.add.reduceat(values.take(order, 0), cut)
+    at = rows.astype(np.int64)[:, None] * to.shape[1] + np.arange(to.shape[1])
+    to += np.bincount(at.ravel(), weights=values.ravel(), minlength=to.size).reshape(to.shape)
 
 
 def contexts(classes: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -372,7 +390,7 @@ def lm_score(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
         m = LogBilinear(*model.value)
         for batch in batches:
             blobs, out = batch.column(6).to_pylist(), []
-            for i, j in _chunks(blobs):
+            for i, j in _chunks(blobs, 2 * DISTINCT):
                 ctx, target, at = contexts(blobs[i:j], m.n)
                 out.append(np.add.reduceat(m.log10(ctx, target), at[:-1]))
             p = np.concatenate(out) if out else np.zeros(0)

@@ -94,3 +94,24 @@ def test_scores_do_not_depend_on_the_layout(spark, sf, monkeypatch):
 def test_a_very_long_text_among_short_ones(spark, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 4000)
     check(spark, [(1, "word other " * 30_000), (2, "word"), (3, "other word word"), (4, "x" * 100_000), (5, None), (6, "word other"), (7, "a b c")])
+
+
+def test_equal_contexts_are_normalised_once(monkeypatch):
+    """The sums over all classes, whose number grows with the corpus, are for distinct contexts; the results are those of plain double precision."""
+    rng = np.random.default_rng(5)
+    n = 90
+    m = lm.LogBilinear.start(rng.dirichlet(np.ones(n)))
+    m.vector += rng.normal(0, 0.8, len(m.vector)).astype(np.float32)
+    ctx = rng.integers(0, 4, (lm.CONTEXT, 5000)).astype(np.int16)
+    ctx[:, 7] = n
+    target = rng.integers(0, n, 5000).astype(np.int16)
+    rows, sums = [], lm.LogBilinear.log_sums
+    monkeypatch.setattr(lm.LogBilinear, "log_sums", lambda self, h, top: (rows.append(len(h)), sums(self, h, top))[1])
+    for high in (0, 100):  # beyond what single precision holds, too
+        m.bias[3] += high
+        h = sum(m.inp[ctx[j]].astype(float) @ m.mat[j] for j in range(lm.CONTEXT)) @ m.out.T.astype(float) + m.bias
+        want = (h[np.arange(5000), target] - h.max(1) - np.log(np.exp(h - h.max(1, keepdims=True)).sum(1))) / np.log(10)
+        assert abs(m.log10(ctx, target) - want).max() < 1e-4
+    assert rows == [65, 65]
+    monkeypatch.setattr(lm, "DISTINCT", 777)
+    assert abs(m.log10(ctx, target) - want).max() < 1e-4 and len(m.log10(ctx[:, :0], target[:0])) == 0

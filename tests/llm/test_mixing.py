@@ -44,3 +44,16 @@ def test_copies(spark, weights, total):
 
 def test_empty(spark):
     assert mix_sources(spark.createDataFrame([], "doc_id long, source string")).collect() == []
+
+
+def test_query_mixes_the_texts(spark, sf):
+    """op8 shuffles and sorts whole texts, and measures each copy where it ends up."""
+    from lexispan.llm.queries import queries
+
+    out = queries()["op8_mixing"](spark, sf)
+    size = {r.doc_id: None if r.text is None else len(r.text.encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert all(r["size"] == size[r.doc_id] for r in out.collect())
+    plan = out._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Sort":
+        plan = plan.children().head()
+    assert "text" in plan.output().mkString(" ")

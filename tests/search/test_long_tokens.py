@@ -1,7 +1,9 @@
 """Terms of too many bytes: plain texts are cut in the JVM, as analyze cuts them."""
 
+import tracemalloc
 from itertools import product
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,3 +35,24 @@ def test_positions_without_long_terms(spark):
     for gaps, want in (("collapse", {1: ["a", "b"], 2: ["b"], 3: ["b"]}), ("preserve", {1: ["a", None, "b"], 2: [None, "b"], 3: ["b"]})):
         got = analysis.with_terms(df, F.col("text"), Options(max_token_bytes=8, long_tokens="discard", position_gaps=gaps))
         assert {r.doc_id: r._terms for r in got.collect()} == want
+
+
+def test_a_batch_is_not_held_as_lists(monkeypatch):
+    """Texts that the JVM leaves to Python; the terms of all, as lists, take over 15 MB."""
+    monkeypatch.setattr(analysis, "SLICE_BYTES", 1 << 16)
+    texts = ["incomprehensibly — short " + " ".join(f"w{i}{k}" for k in range(300)) for i in range(800)]
+    batch, options = pa.array([None, "", *texts]), Options(max_token_bytes=8, long_tokens="discard")
+    tracemalloc.start()
+    got = analysis.terms_of_all(batch, options)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5e6
+    assert got.to_pylist() == [terms_of(t, options) for t in batch.to_pylist()]
+
+
+def test_python_takes_unusual_texts_alone(spark):
+    texts = [None, "", "incomprehensibly — short", "日本 ☂ short", "x" * (1 << 20) + " — y", "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    options = Options(max_token_bytes=8, long_tokens="discard")
+    for got in (df.select("i", analysis.general_terms(F.col("text"), options)), df.select("i", analysis.terms(F.col("text"), options))):
+        assert [r[1] for r in sorted(got.collect())] == [terms_of(t, options) for t in texts]
